@@ -11,12 +11,13 @@ All links of a candidate group are found without all its pairs:
 2. In each bucket (band, register values) every member is compared with the bucket's smallest class only; the
    three likeliest of a class's pairs are checked.
 3. Links give components. Buckets whose members are all in one component are done.
-4. In the others, members of different components are compared by registers, block by block. For each
-   document and each component beside its own, the most similar candidates not yet checked go on to the check
-   on full sets: 4 of them, then 32, then all the rest. Each round starts from the new components.
+4. In the others, members of different components are compared by registers, block by block. Of each document's
+   likely partners the 4 likeliest of each component beside its own go on to the check on full sets.
+5. What is still split then is settled in one exact round: the documents that have a likely partner in another
+   component meet in blocks with their full sets, and each block gives one link for each two components that
+   it joins, not its pairs.
 
-After the last round every candidate pair across two components has been checked, so no link between
-components is lost.
+Every candidate pair across two components is checked in the end, so no link between components is lost.
 
 Cases: no words or null text: an empty set that links with nothing; fewer words than a shingle: the whole
 sequence is one shingle; rows that repeat a doc_id: each row is reported, all with the component that the
@@ -156,27 +157,39 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
 
     Large-star and small-star steps in turn, each a minimum by node and a join; every step is written, so
     a lost executor costs one step at most, and so both sides of a join are dealt out afresh and a hub's
-    edges can be split by AQE.
+    edges can be split by AQE. It ends when every node has one parent and no parent has one itself.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
     for _ in range(rounds):
+        roles = now.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionAll(now.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        found = roles.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
+        if found.where("children > 1 OR (children > 0 AND parent > 0)").isEmpty():
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = scratch.keep(small.distinct())
-        mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
         scratch.drop(now, least, large, low)
         now = after
-        if seen == mark:
-            roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(roots)
-        seen = mark
     raise RuntimeError("components did not settle")
 
 
+def join_components(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comps`` (node, comp) after more links (a, x): only the components that these join are worked on."""
+
+    def end(name: str) -> DataFrame:
+        return comps.select(F.col("node").alias(name), F.col("comp").alias(f"of_{name}"))
+
+    named = links.join(end("a"), "a", "left").join(end("x"), "x", "left")
+    moved = scratch.keep(components(named.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_x", "x").alias("b")), scratch))
+    to = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = comps.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return scratch.keep(old.unionAll(moved.join(comps.select("node"), "node", "left_anti")))
+
+
 # --- the operator --------------------------------------------------------------------------
 
 
@@ -244,17 +257,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "x", "s_a", "s_x").mapInArrow(run, "a long, x long")
 
 
-def _across(live: DataFrame, most: int | None, cut: float, block: int = 1024) -> DataFrame:
-    """Likely pairs of members of one bucket with different components.
+def _cells(live: DataFrame, rows: int = 1024, shingles: int = 1 << 20) -> DataFrame:
+    """The members of buckets with several components, dealt to cells (key, kind, i, j).
 
-    ``live`` has (key, rep, comp, n, sketch, main, n_main, n_other): main is the bucket's largest component. Its
-    members are dealt to blocks, the others to blocks too, and each block of others meets each block of all;
-    two members of main never meet. A task holds two blocks. For each document and component beside its
-    own, the ``most`` likely pairs of a block are given.
+    ``live`` has (key, rep, comp, n, main, main_rows, main_n, other_rows, other_n): main is the bucket's largest
+    component. Its members are dealt to blocks of bounded rows and shingles, the others to blocks too, and each block of
+    others meets each block of all; two members of main never meet. A cell holds two blocks.
     """
-    main_blocks, other_blocks = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("n_main", "n_other"))
+
+    def blocks(name: str):
+        return F.greatest(F.lit(1), F.ceil(F.col(f"{name}_rows") / F.lit(rows)), F.ceil(F.col(f"{name}_n") / F.lit(shingles))).cast("int")
+
     salt = F.xxhash64(F.lit(11), "rep")
-    rows = live.withColumns({"is_main": F.col("comp") == F.col("main"), "mb": F.greatest(F.lit(1), main_blocks), "ob": other_blocks})
+    marked = live.withColumns({"is_main": F.col("comp") == F.col("main"), "mb": blocks("main"), "ob": blocks("other")})
     own = F.when(F.col("is_main"), F.pmod(salt, F.col("mb"))).otherwise(F.pmod(salt, F.col("ob"))).cast("int")
     others, mains = F.sequence(F.lit(0), F.col("ob") - 1), F.sequence(F.lit(0), F.col("mb") - 1)
     with_main = F.when(F.col("is_main"), F.transform(others, lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j")))).otherwise(
@@ -264,52 +279,32 @@ def _across(live: DataFrame, most: int | None, cut: float, block: int = 1024) ->
         ~F.col("is_main") & (F.col("ob") > 1),
         F.transform(F.filter(others, lambda j: j != F.col("own")), lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"))),
     ).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
-    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(F.concat(with_main, among)))
-    dealt = dealt.select("key", "cell.kind", "cell.i", "cell.j", "rep", "comp", "n", "sketch", "is_main")
-    dealt = dealt.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "rep")
-    types = pa.schema([("a", pa.int64()), ("x", pa.int64()), ("est", pa.float64())])
+    dealt = marked.withColumn("own", own).withColumn("cell", F.explode(F.concat(with_main, among)))
+    return dealt.select("key", "cell.kind", "cell.i", "cell.j", "rep", "comp", "n", "is_main")
 
-    def cell(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        rep, comp, n = (rows.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        main = rows.column("is_main").to_numpy(zero_copy_only=False)
-        m = _matrix(rows.column("sketch").combine_chunks())
-        out = []
-        for k in np.flatnonzero(~main):
-            to = np.flatnonzero((comp != comp[k]) & (main | (rep > rep[k])))
-            if not len(to):
-                continue
-            same = (m[to] == m[k]).sum(1)
-            to = to[same >= 0.35 * REGISTERS]  # far below what an estimate at the cut can have
-            if not len(to):
-                continue
-            est = estimate((m[to] > m[k]).sum(1), (m[to] < m[k]).sum(1), n[to].astype(float), np.full(len(to), float(n[k])))
-            to, est = to[est >= cut], est[est >= cut]
-            if most is not None and len(to) > most:
-                order = np.lexsort((rep[to], -est, comp[to]))
-                group = comp[to][order]
-                first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-                to, est = to[order[rank < most]], est[order[rank < most]]
-            if len(to):
-                out.append((np.minimum(rep[to], rep[k]), np.maximum(rep[to], rep[k]), est))
-        return out
+
+CELL = ["key", "kind", "i", "j"]
+
+
+def _by_cell(dealt: DataFrame, work, types: pa.Schema, ddl: str) -> DataFrame:
+    """``work`` on the rows (an Arrow table) of each cell of at least two rows; a task streams its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def cells(table: pa.Table, last: bool) -> tuple[list, pa.Table]:
-            ids = np.stack([table.column(c).to_numpy() for c in ("key", "kind", "i", "j")], 1)
+            ids = np.stack([table.column(c).to_numpy() for c in CELL], 1)
             cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(1)])) if len(ids) else np.zeros(0, int)
             ends = np.append(cuts[1:], len(ids))
             out = []
             for a, b in zip(cuts if last else cuts[:-1], ends if last else ends[:-1], strict=True):
                 if b - a > 1:
-                    out += cell(table.slice(a, b - a))
+                    out += work(table.slice(a, b - a))
             return out, table.slice(cuts[-1] if len(cuts) and not last else len(ids))
 
         def give(found: list) -> Iterator[pa.RecordBatch]:
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=types)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found, strict=True), types.types, strict=True)], schema=types)
 
         for batch in batches:
             new = pa.Table.from_batches([batch])
@@ -319,7 +314,87 @@ def _across(live: DataFrame, most: int | None, cut: float, block: int = 1024) ->
         if held is not None:
             yield from give(cells(held, True)[0])
 
-    return dealt.mapInArrow(run, "a long, x long, est double")
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL, "rep").mapInArrow(run, ddl)
+
+
+def _numbers(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return (*(rows.column(c).to_numpy() for c in ("rep", "comp", "n")), rows.column("is_main").to_numpy(zero_copy_only=False))
+
+
+def _likely_across(rows: pa.Table, cut: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows of other components that are likely partners, their estimates), each pair once."""
+    rep, comp, n, main = _numbers(rows)
+    m = _matrix(rows.column("sketch").combine_chunks())
+    for k in np.flatnonzero(~main):
+        to = np.flatnonzero((comp != comp[k]) & (main | (rep > rep[k])))
+        same = (m[to] == m[k]).sum(1)
+        to = to[same >= 0.35 * REGISTERS]  # far below what an estimate at the cut can have
+        if len(to):
+            est = estimate((m[to] > m[k]).sum(1), (m[to] < m[k]).sum(1), n[to].astype(float), np.full(len(to), float(n[k])))
+            if (est >= cut).any():
+                yield k, to[est >= cut], est[est >= cut]
+
+
+def likeliest(dealt: DataFrame, most: int, cut: float) -> DataFrame:
+    """Pairs (a, x): for each document and component beside its own, a cell's ``most`` likeliest ones."""
+
+    def work(rows: pa.Table) -> list[tuple[np.ndarray, ...]]:
+        rep, comp, _, _ = _numbers(rows)
+        out = []
+        for k, to, est in _likely_across(rows, cut):
+            order = np.lexsort((rep[to], -est, comp[to]))
+            group = comp[to][order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            to = to[order[rank < most]]
+            out.append((np.minimum(rep[to], rep[k]), np.maximum(rep[to], rep[k])))
+        return out
+
+    return _by_cell(dealt, work, pa.schema([("a", pa.int64()), ("x", pa.int64())]), "a long, x long").distinct()
+
+
+def undecided(dealt: DataFrame, cut: float) -> DataFrame:
+    """The rows of cells that have a likely partner in another component there."""
+
+    def work(rows: pa.Table) -> list[tuple[np.ndarray, ...]]:
+        hit = np.zeros(len(rows), bool)
+        for k, to, _ in _likely_across(rows, cut):
+            hit[k] = True
+            hit[to] = True
+        at = np.flatnonzero(hit)
+        return [tuple(rows.column(c).to_numpy(zero_copy_only=False)[at] for c in (*CELL, "rep", "comp", "is_main"))] if len(at) else []
+
+    types = pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in CELL[1:]), ("rep", pa.int64()), ("comp", pa.int64()), ("is_main", pa.bool_())])
+    return _by_cell(dealt, work, types, "key long, kind int, i int, j int, rep long, comp long, is_main boolean")
+
+
+def links_across(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, x) found on the full sets of all rows of a cell: one for each two components that meet a link joins."""
+
+    def work(rows: pa.Table) -> list[tuple[np.ndarray, ...]]:
+        rep, main = rows.column("rep").to_numpy(), rows.column("is_main").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles").combine_chunks()]
+        size = np.array([len(x) for x in sets])
+        _, terms = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(size) - size
+        _, local = np.unique(rows.column("comp").to_numpy(), return_inverse=True)
+        mark = np.zeros(int(terms.max()) + 1, np.int32)
+        out = []
+        for k in np.flatnonzero(~main):
+            if not (local != local[k]).any():
+                break
+            own = terms[starts[k] : starts[k] + size[k]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[terms], starts)
+            mark[own] = 0
+            to = np.flatnonzero((100 * common >= percent * (size + size[k] - common)) & (local != local[k]))
+            for t in to:
+                if local[t] != local[k]:
+                    out.append((np.minimum(rep[[t]], rep[k]), np.maximum(rep[[t]], rep[k])))
+                    local[local == local[t]] = local[k]
+        return out
+
+    return _by_cell(dealt, work, pa.schema([("a", pa.int64()), ("x", pa.int64())]), "a long, x long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -334,16 +409,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketches = s.keep(classes.join(own, (F.col("rep") == F.col("r")) & (F.col("doc") == F.col("d"))).select("rep", "n", "sketch").groupBy("rep", "n").agg(F.min("sketch").alias("sketch")))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
+        types = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 b = batch.slice(low, 4096)
                 k = band_keys(_matrix(b.column("sketch")))
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], schema=types)
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), *(pa.array(np.repeat(b.column(c).to_numpy(), BANDS)) for c in ("rep", "n"))], schema=types)
 
-    banded = sketches.select("rep", "sketch").mapInArrow(keys, "key long, rep long")
+    banded = sketches.mapInArrow(keys, "key long, rep long, n long")
     buckets = s.keep(banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a"))
-    members = s.keep(banded.join(buckets, "key").select("key", "rep", "a"))
+    members = s.keep(banded.join(buckets, "key").select("key", "rep", "n", "a"))
     star = members.where("rep <> a").select("a", F.col("rep").alias("x")).distinct()
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("est"), "a"))
     first = s.keep(_likely(star, sketches, cut).withColumn("place", best).where("place <= 3").select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("x")).distinct())
@@ -365,32 +440,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         texts = pick(docs, doc_id="long", text="string").join(ids, "doc_id", "left_semi").select("text")
         return s.keep(texts.mapInArrow(set_rows, "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles")))
 
-    sets, tested = full_sets(ends(first)), first
-    links = s.keep(_verified(first, sets, percent))
-    comps = s.keep(components(links.select("a", F.col("x").alias("b")), s))
-    for most in (4, 32, None):
-        named = s.keep(members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
-        sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        split = s.keep(split.select("key", F.col("top.comp").alias("main"), F.col("top.c").alias("n_main"), (F.col("all") - F.col("top.c")).alias("n_other")))
-        live = named.join(split, "key").join(sketches, "rep")
-        found = s.keep(_across(live, most, cut).select("a", "x").distinct())
-        new = s.keep(found.join(tested, ["a", "x"], "left_anti"))
-        none, nothing_new = found.isEmpty(), new.isEmpty()
-        s.drop(named, split, found)
-        if none:
-            break
-        if nothing_new:
-            continue
-        sets = sets.unionAll(full_sets(ends(new).join(sets, "rep", "left_anti")))
-        links = links.unionAll(s.keep(_verified(new, sets, percent)))
-        tested = tested.unionAll(new)
-        s.drop(comps)
-        comps = s.keep(components(links.select("a", F.col("x").alias("b")), s))
+    def live() -> DataFrame:
+        named = s.keep(members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
+        sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        split = s.keep(split.selectExpr("key", "top.comp AS main", "top.c AS main_rows", "top.s AS main_n", "c - top.c AS other_rows", "s - top.s AS other_n"))
+        return _cells(named.join(split, "key"))
+
+    by_rep = sketches.select("rep", "sketch")
+    sets, comps = full_sets(ends(first)), None
+    comps = s.keep(components(_verified(first, sets, percent).select("a", F.col("x").alias("b")), s))
+    more = s.keep(likeliest(live().join(by_rep, "rep"), 4, cut).join(first, ["a", "x"], "left_anti"))
+    if not more.isEmpty():
+        sets = sets.unionAll(full_sets(ends(more).join(sets, "rep", "left_anti")))
+        comps = join_components(comps, _verified(more, sets, percent), s)
+    rest = s.keep(undecided(live().join(by_rep, "rep"), cut))
+    if not rest.isEmpty():
+        sets = sets.unionAll(full_sets(rest.select("rep").distinct().join(sets, "rep", "left_anti")))
+        comps = join_components(comps, links_across(rest.join(sets, "rep"), percent), s)
     named = classes.join(comps, classes["rep"] == comps["node"], "left").select("rep", "doc", F.coalesce("comp", "rep").alias("comp"))
     least = s.keep(named.groupBy("comp").agg(F.min("doc").alias("component_id")))
     by_class = s.keep(named.join(least, "comp").select("rep", "component_id"))
-    s.drop(members, comps, least)
+    s.drop(members)
     rows = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     out = rows.join(by_class, "rep", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
