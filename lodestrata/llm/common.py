@@ -211,12 +211,13 @@ class WordTokenizer:
     the ids of its words in a row. Words are cut at blanks and line feeds only; all else is left to
     the library. Words of Latin letters with a run of marks behind them are encoded many at a time:
     their ids are told apart by the vocabulary's word ends, and one by one if that count differs.
-    Words found twice in a batch are kept for later ones; at ``most`` words the store starts anew.
+    Words are kept, as Arrow strings, for later batches; beyond ``most`` words only those found twice in a
+    batch, and at twice as many the store starts anew.
     """
 
     PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?%$#&*]*)$"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -230,9 +231,9 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.ids = np.zeros(0, np.uint32)
-        self.sizes = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int32)
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has."""
@@ -242,7 +243,7 @@ class WordTokenizer:
         units = np.ones(len(words), np.int64)
         last = pc.match_substring_regex(words, "[.,;:!?%$#&*]$").to_numpy(zero_copy_only=False)
         units[last] = 2
-        sizes, found = np.zeros(len(words), np.int64), []
+        sizes, found = np.zeros(len(words), np.int32), []
         at = np.flatnonzero(plain)
         for low in range(0, len(at), 2000):
             part = at[low : low + 2000]
@@ -260,8 +261,8 @@ class WordTokenizer:
             got = [x.ids for x in self.library.encode_batch_fast(words.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
             sizes[part] = [len(x) for x in got]
             found.append((part, np.array([i for x in got for i in x], np.uint32)))
-        starts = np.cumsum(sizes) - sizes
-        out = np.zeros(int(sizes.sum()), np.uint32)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        out = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint32)
         for part, ids in found:
             out[spread(starts[part], sizes[part])] = ids
         return out, sizes
@@ -278,30 +279,34 @@ class WordTokenizer:
         index = words.indices.to_numpy(zero_copy_only=False)
         if not len(index):
             return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
-        if len(self.slot) > self.most:
+        if len(self.known) > 2 * self.most:
             self.reset()
-        distinct = words.dictionary.to_pylist()
-        slot = np.fromiter((self.slot.get(w, -1) for w in distinct), np.int64, len(distinct))
+        distinct = words.dictionary
+        place = pc.index_in(distinct, value_set=self.known)
+        slot = place.fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(slot < 0)
-        ids, sizes = self.encode_words(words.dictionary.take(pa.array(new)))
+        ids, sizes = self.encode_words(distinct.take(pa.array(new)))
         slot[new] = len(self.sizes) + np.arange(len(new))
         all_sizes = np.concatenate([self.sizes, sizes])
-        starts = np.cumsum(all_sizes) - all_sizes
+        starts = np.cumsum(all_sizes, dtype=np.int64) - all_sizes
         all_ids = np.concatenate([self.ids, ids])
-        again = np.flatnonzero(np.bincount(index, minlength=len(distinct))[new] > 1)
-        for k, w in enumerate(new[again].tolist()):
-            self.slot[distinct[w]] = len(self.sizes) + k
-        self.ids = np.concatenate([self.ids, ids[spread((np.cumsum(sizes) - sizes)[again], sizes[again])]])
-        self.sizes = np.concatenate([self.sizes, sizes[again]])
+        if len(self.known) <= self.most:
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new))])
+            self.ids, self.sizes = all_ids, all_sizes
+        else:
+            again = np.flatnonzero(np.bincount(index, minlength=len(distinct))[new] > 1)
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new[again]))])
+            self.ids = np.concatenate([self.ids, ids[spread((np.cumsum(sizes) - sizes)[again], sizes[again])]])
+            self.sizes = np.concatenate([self.sizes, sizes[again]])
         slot = slot[index]
         size = all_sizes[slot]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         return all_ids[spread(starts[slot], size)], ends[bounds]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all runs (start, size), one run after another."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
