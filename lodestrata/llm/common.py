@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,22 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])
 
 
+def lowest_hashes(rows: DataFrame, want: int, *key: str, group: str | None = None) -> DataFrame:
+    """The ``want`` rows (of each group) whose keys have the lowest hashes, with their ``place``: a bounded sample.
+
+    Groups are counted first, and only rows below a hash that about 4 * want + 64 rows of a group are below
+    are ranked, so no task sees more of a large group, however many tasks there are.
+    """
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    by = F.col(group) if group else F.lit("all")
+    keyed = rows.withColumns({"__ls_g": by, "__ls_h": h})
+    counts = keyed.groupBy("__ls_g").agg(F.count(F.lit(1)).alias("__ls_n"))
+    joined = keyed.join(counts, "__ls_g")
+    low = joined.where(F.col("__ls_h") * F.col("__ls_n").cast("double") < float((4 * want + 64) * (1 << 40)))
+    order = Window.partitionBy("__ls_g").orderBy("__ls_h", *key)
+    return low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= want).drop("__ls_g", "__ls_h", "__ls_n")
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, string_bytes
+from .common import lowest_hashes, pick, string_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -174,14 +174,12 @@ def remainder(doc_id: str, mod: int):
 def fit(docs: DataFrame, held_out: int | None = 1, per_language: int = PER_LANGUAGE) -> Network:
     """Fits a network on at most ``per_language`` documents of each language, chosen by a hash of the id.
 
-    The ids are chosen first, without any text; no more than ``per_language`` of a language leave a
-    task. Rows whose crc32 modulo 3 is ``held_out`` are left out.
+    The ids are chosen first, without any text. Rows whose crc32 modulo 3 is ``held_out`` are left out.
     """
     rows = pick(docs, doc_id="long", text="string", lang="string").where("lang IS NOT NULL AND doc_id IS NOT NULL")
     if held_out is not None:
         rows = rows.where(remainder("doc_id", 3) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    chosen = lowest_hashes(rows.select("doc_id", "lang"), per_language, "doc_id", group="lang")
     few = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # per_language ids of a language at most
     got = sorted(few.where("text IS NOT NULL").select("doc_id", "lang", "text").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pick, slices, spread, string_bytes
+from .common import lowest_hashes, mix64, pick, slices, spread, string_bytes
 from .lang_cnn import remainder, softmax
 
 BUCKETS = 1 << 16
@@ -34,7 +34,13 @@ MOST_ROWS = 5000
 THRESHOLD = 0.3
 
 
-def word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_parts(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of all words, worked out some at a time to bound the memory."""
+    done = [_word_parts(words[k : k + at_once]) for k in range(0, len(words), at_once)]
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def _word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's parts (the word, then its n-grams with < and > at its ends) and how many each word has."""
     text = "".join(f"<{w}>" for w in words)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -57,7 +63,7 @@ def word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(words)))
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owners, minlength=len(words))
+    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owners, minlength=len(words))
 
 
 def split_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -89,6 +95,15 @@ class Model:
     out: np.ndarray
     bias: np.ndarray
 
+    def _sums(self, parts: np.ndarray, count: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+        """The sum of each word's parts."""
+        first = np.cumsum(count) - count
+        out = np.empty((len(count), self.vectors.shape[1]), np.float32)
+        for k in range(0, len(count), at_once):
+            begin, end = first[k], first[k + at_once] if k + at_once < len(count) else len(parts)
+            out[k : k + at_once] = np.add.reduceat(self.vectors[parts[begin:end]], first[k : k + at_once] - begin)
+        return out
+
     def score(self, column: pa.Array, limit: int = 8 << 20) -> np.ndarray:
         """Probabilities [rows, classes]; every word of every text counts."""
         done = []
@@ -99,7 +114,7 @@ class Model:
             total = np.zeros((high - low, self.vectors.shape[1]), np.float32)
             if len(index):
                 parts, count = word_parts(words)
-                sums = np.add.reduceat(self.vectors[parts], np.cumsum(count) - count)
+                sums = self._sums(parts, count)
                 row = np.repeat(np.arange(high - low), np.diff(bounds))
                 filled = np.flatnonzero(np.diff(bounds) > 0)
                 same = repeats(index, bounds)
@@ -125,6 +140,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, r
     if not words:
         return model
     parts, count = word_parts(words)
+    del words
+    index = index.astype(np.int32)
     begin = np.cumsum(count) - count
     goal = np.searchsorted(classes, labels)
     same = repeats(index, bounds)
@@ -143,11 +160,11 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 5, r
             place += np.repeat(bounds[docs], took)
             word, twice = index[place], same[place]
             owner = np.repeat(np.arange(len(docs)), took)
-            ids = np.concatenate([parts[spread(begin[word], count[word])], np.full(int(twice.sum()), REPEAT)])
+            ids = np.concatenate([parts[spread(begin[word], count[word])], np.full(int(twice.sum()), REPEAT, np.int32)])
             owner = np.concatenate([np.repeat(owner, count[word]), owner[twice]])
             size = np.maximum(np.bincount(owner, minlength=len(docs)), 1).astype(np.float32)
             # a document's parts all get the same gradient: counted by (part, document) first
-            pair, times = np.unique(owner * (BUCKETS + 1) + ids, return_counts=True)
+            pair, times = np.unique(owner * np.int64(BUCKETS + 1) + ids, return_counts=True)
             of, ids = pair // (BUCKETS + 1), pair % (BUCKETS + 1)
             filled = np.flatnonzero(took > 0)
             mean = np.zeros((len(docs), DIMENSION), np.float32)
@@ -168,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
     marked = pick(labels, **{"doc_id": "long", target: "int"}).where(f"doc_id IS NOT NULL AND {target} IS NOT NULL")
     if held_out is not None:
         marked = marked.where(remainder("doc_id", 5) != held_out)
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", target).limit(most)
+    chosen = lowest_hashes(marked, most, "doc_id", target).drop("place")
     got = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", target, "text").toArrow().to_pylist()  # ``most`` rows on the small side
     got.sort(key=lambda r: (r["doc_id"], r[target], r["text"] or ""))
     return train([r["text"] or "" for r in got], [r[target] for r in got])

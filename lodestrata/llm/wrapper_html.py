@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, lowest_hashes, pick
 
 #: Pages of a host that its wrapper is inferred from, at most: those with the lowest hashes.
 SAMPLE = 8
@@ -361,9 +361,8 @@ def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
 
 
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper JSON). Each task hands on at most ``sample`` pages of a host, so a large host is no hot group."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id")
-    few = pages.where("html IS NOT NULL AND html <> ''").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    """(host, wrapper JSON), from at most ``sample`` pages of a host, so a large host is no hot group."""
+    few = lowest_hashes(pages.where("html IS NOT NULL AND html <> ''"), sample, "page_id", "url", group="host")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         made = infer(rows.sort_values("place")["html"].tolist())
