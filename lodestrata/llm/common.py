@@ -76,6 +76,32 @@ def lowest_hashes(rows: DataFrame, want: int, *key: str, group: str | None = Non
     return low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= want).drop("__ls_g", "__ls_h", "__ls_n")
 
 
+def tidy(run):
+    """``run`` (batches to batches), and at its end freed memory goes back to the system.
+
+    Workers stay for later tasks; without this each keeps the peak of all it has done.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -233,7 +259,7 @@ class WordTokenizer:
 
     PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?%$#&*]*)$"
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -333,7 +359,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def tokenized(batch: pa.RecordBatch, path: str, limit: int = 16 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def tokenized(batch: pa.RecordBatch, path: str, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of runs of rows of column ``text``, about ``limit`` bytes each."""
     column = batch.column("text").cast(pa.large_string())
     _, offsets = string_bytes(column)

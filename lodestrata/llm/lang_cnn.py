@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, pick, string_bytes
+from .common import lowest_hashes, pick, string_bytes, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -130,7 +130,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 8, b
     return net
 
 
-def predict(net: Network, column: pa.Array, limit: int = 4 << 20) -> tuple[list[str], np.ndarray]:
+def predict(net: Network, column: pa.Array, limit: int = 2 << 20) -> tuple[list[str], np.ndarray]:
     """Language and probability of each row, from all its windows, in bounded memory."""
     n = len(column)
     total, weight = np.zeros((n, max(1, len(net.languages)))), np.zeros(n)
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
             names, score = predict(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], schema=types)
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, schema)
+    return pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, net: Network, least: float = 0.0) -> DataFrame:
@@ -210,7 +210,7 @@ def keep_identified(docs: DataFrame, net: Network, least: float = 0.0) -> DataFr
             names, score = predict(shared.value, batch.column("text"))
             yield batch.filter(pa.array([a != "und" and b >= least for a, b in zip(names, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def language_report(docs: DataFrame, held_out: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:

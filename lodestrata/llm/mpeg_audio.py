@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, pick, string_bytes
+from .common import Scratch, pick, string_bytes, tidy
 
 # Fixed values of the format: kbit/s by (MPEG-1, layer), index 1 to 14, and Hz by version.
 BITRATES = {
@@ -277,7 +277,7 @@ def parse_media(df: DataFrame, media: str = "media") -> DataFrame:
             arrays = [batch.column(f.name) for f in rest] + [pa.array(c, t) for c, t in zip(columns, types.types[len(rest) :], strict=True)]
             yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, types.types, strict=True)], schema=types)
 
-    return df.select(*[f"`{f.name}`" for f in rest], f"`{media}`").mapInArrow(read, schema)
+    return df.select(*[f"`{f.name}`" for f in rest], f"`{media}`").mapInArrow(tidy(read), schema)
 
 
 def store_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -292,7 +292,7 @@ def store_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 media = [write_carrier(padded(buf[bounds[k] : bounds[k + 1]].tobytes())) for k in range(low, high)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(media, pa.binary())], schema=types)
 
-    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(write, "doc_id long, media binary"))
+    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(tidy(write), "doc_id long, media binary"))
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -313,4 +313,4 @@ def text_features(docs: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types.types[1:], strict=True))], schema=types)
 
-    return stored.mapInArrow(read, schema)
+    return stored.mapInArrow(tidy(read), schema)

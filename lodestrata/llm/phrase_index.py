@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, pick, slices, string_bytes, word_values
+from .common import Scratch, hash_words, pick, slices, string_bytes, tidy, word_values
 
 WINDOW = 10
 #: Words of a block of the index; a document is never split, so a longer one is a block of its own.
@@ -86,7 +86,7 @@ def build_index(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORD
         if held:
             yield close()
 
-    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(run, schema))
+    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema))
 
 
 class Block:
@@ -236,13 +236,13 @@ def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, pass_
             yield out(rows)
 
     # one pass at a time is on the driver; its bytes are bounded by ``pass_bytes``
-    passes = [index.mapInArrow(searcher(spark.sparkContext.broadcast(Phrases(part, window))), schema) for part in read_items(items, pass_bytes)]
+    passes = [index.mapInArrow(tidy(searcher(spark.sparkContext.broadcast(Phrases(part, window)))), schema) for part in read_items(items, pass_bytes)]
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
     if len(passes) > 1:
         found = found.repartition("part", "block", "row").sortWithinPartitions("part", "block", "row")
-    return found.mapInArrow(finish, out_schema)
+    return found.mapInArrow(tidy(finish), out_schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -267,7 +267,7 @@ def proximity(index: DataFrame, phrases: list[str], reach: int) -> DataFrame:
                         doc = np.searchsorted(block.starts, at, "right") - 1
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.full(len(at), k, np.int32)), pa.array(at - block.starts[doc])], schema=types)
 
-    return index.mapInArrow(run, "doc_id long, phrase int, place long")
+    return index.mapInArrow(tidy(run), "doc_id long, phrase int, place long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least_words: int = 1, window: int = WINDOW) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, tokenized
+from .common import Scratch, pick, tidy, tokenized
 
 MAGIC = b"LRP1"
 SHARD_IDS = 1 << 20
@@ -229,7 +229,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
 
     rows = pick(docs, doc_id="long", text="string")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return scratch.keep(ordered.mapInArrow(pack, schema), "zstd")
+    return scratch.keep(ordered.mapInArrow(tidy(pack), schema), "zstd")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     before = parts.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before_part"))
     inside = sizes.withColumn("before_shard", F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids"))
     starts = inside.join(before, "part").select("part", "shard", (F.col("before_part") + F.col("before_shard")).alias("base"))
-    found = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(unpack, schema)
+    found = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(tidy(unpack), schema)
     return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "symbols", "part", "shard")
 
 

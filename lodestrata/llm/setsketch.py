@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, mix64, pick, slices, string_bytes, word_values
+from .common import Scratch, hash_words, mix64, pick, slices, string_bytes, tidy, word_values
 
 BASE = 1.001
 RATE = 20.0
@@ -210,7 +210,7 @@ def sketch_documents(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame
                 arrays = [batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(reps, pa.int64()), pa.array([k.tobytes() if len(s) else None for s, k in zip(sets, sketch, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, schema=types)
 
-    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_shingles long, rep long, sketch binary"))
+    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), "doc_id long, n_shingles long, rep long, sketch binary"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -234,7 +234,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
                 ok = pa.array(est >= cut)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("x").filter(ok), pa.array(est[est >= cut])], schema=types)
 
-    return both.select("a", "x", "n_a", "n_x", "s_a", "s_x").mapInArrow(run, "a long, x long, est double")
+    return both.select("a", "x", "n_a", "n_x", "s_a", "s_x").mapInArrow(tidy(run), "a long, x long, est double")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +254,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "x")], schema=types)
 
-    return both.select("a", "x", "s_a", "s_x").mapInArrow(run, "a long, x long")
+    return both.select("a", "x", "s_a", "s_x").mapInArrow(tidy(run), "a long, x long")
 
 
 def _cells(live: DataFrame, rows: int = 1024, shingles: int = 1 << 20) -> DataFrame:
@@ -314,7 +314,7 @@ def _by_cell(dealt: DataFrame, work, types: pa.Schema, ddl: str) -> DataFrame:
         if held is not None:
             yield from give(cells(held, True)[0])
 
-    return dealt.repartition(*CELL).sortWithinPartitions(*CELL, "rep").mapInArrow(run, ddl)
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL, "rep").mapInArrow(tidy(run), ddl)
 
 
 def _numbers(rows: pa.Table) -> tuple[np.ndarray, ...]:
@@ -416,7 +416,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 k = band_keys(_matrix(b.column("sketch")))
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), *(pa.array(np.repeat(b.column(c).to_numpy(), BANDS)) for c in ("rep", "n"))], schema=types)
 
-    banded = sketches.mapInArrow(keys, "key long, rep long, n long")
+    banded = sketches.mapInArrow(tidy(keys), "key long, rep long, n long")
     buckets = s.keep(banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a"))
     members = s.keep(banded.join(buckets, "key").select("key", "rep", "n", "a"))
     star = members.where("rep <> a").select("a", F.col("rep").alias("x")).distinct()
@@ -438,7 +438,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         """Shingle sets, made from the texts again, of the documents that are checked."""
         ids = classes.join(reps, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
         texts = pick(docs, doc_id="long", text="string").join(ids, "doc_id", "left_semi").select("text")
-        return s.keep(texts.mapInArrow(set_rows, "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles")))
+        return s.keep(texts.mapInArrow(tidy(set_rows), "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles")))
 
     def live() -> DataFrame:
         named = s.keep(members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, mix64, pick, slices, spread, string_bytes
+from .common import lowest_hashes, mix64, pick, slices, spread, string_bytes, tidy
 from .lang_cnn import remainder, softmax
 
 BUCKETS = 1 << 16
@@ -104,7 +104,7 @@ class Model:
             out[k : k + at_once] = np.add.reduceat(self.vectors[parts[begin:end]], first[k : k + at_once] - begin)
         return out
 
-    def score(self, column: pa.Array, limit: int = 8 << 20) -> np.ndarray:
+    def score(self, column: pa.Array, limit: int = 4 << 20) -> np.ndarray:
         """Probabilities [rows, classes]; every word of every text counts."""
         done = []
         column = column.cast(pa.large_string())
@@ -204,5 +204,5 @@ def score_documents(docs: DataFrame, model: Model, good: int = 1, threshold: flo
             score = p[:, m.classes.index(good)] if good in m.classes else np.zeros(len(p))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score.astype(np.float64))], schema=types)
 
-    scored = pick(docs, doc_id="long", text="string").mapInArrow(run, schema)
+    scored = pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 5) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

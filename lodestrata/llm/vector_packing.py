@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, tokenized
+from .common import pick, tidy, tokenized
 
 
 @dataclass(frozen=True)
@@ -188,4 +188,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         if rows:
             yield out()
 
-    return pick(docs, **columns).mapInArrow(run, schema)
+    return pick(docs, **columns).mapInArrow(tidy(run), schema)

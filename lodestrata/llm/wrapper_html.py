@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lowest_hashes, pick
+from .common import Scratch, lowest_hashes, pick, tidy
 
 #: Pages of a host that its wrapper is inferred from, at most: those with the lowest hashes.
 SAMPLE = 8
@@ -395,4 +395,4 @@ def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROAD
                 texts = [t for t, _ in out]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([w for _, w in out], pa.bool_())], schema=types)
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long, by_wrapper boolean")
