@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,13 +15,30 @@ NODE = "snapshot_id string, path string, rel_path string, parent_path string, na
 
 
 def scan(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """(path, rel_path, size, modified, content) of all files below ``root``; unread columns aren't loaded."""
+    """(path, rel_path, size, modified, content) of all files below ``root``; unread columns aren't loaded.
+
+    Spark's file sources leave out files without bytes, so these come from a listing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    base = root.rstrip("/")
-    rel = F.regexp_replace("path", r"^.*?" + base.split("://")[-1].replace("file:", "").replace(".", r"\.") + "/", "")
-    return reader.load(root).select("path", rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    found = reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    empty = spark.createDataFrame(_empty_files(spark, root, pattern), "path string, size long, ms long")
+    empty = empty.select("path", "size", F.timestamp_millis("ms").alias("modified"), F.lit(b"").alias("content"))
+    base = re.escape(root.rstrip("/").split("://")[-1].removeprefix("file:"))
+    return found.unionAll(empty).select("path", F.regexp_replace("path", f"^.*?{base}/", "").alias("rel_path"), "size", "modified", "content")
+
+
+def _empty_files(spark: SparkSession, root: str, pattern: str | None) -> list[tuple[str, int, int]]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while listing.hasNext():
+        f = listing.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and name[0] not in "._" and (pattern is None or fnmatch.fnmatchcase(name, pattern)):
+            out.append((f.getPath().toString(), 0, f.getModificationTime()))
+    return out
 
 
 def count_files(files: DataFrame) -> DataFrame:
