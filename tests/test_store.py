@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,7 +76,9 @@ def test_stream_trigger(spark, tmp_path):
     spark.sql("SELECT concat('f', id) AS path, 'modify' AS kind, timestamp'2024-01-01' AS event_ts FROM range(12)").write.parquet(f"file://{tmp_path}/feed")
     out = changes.triggered(changes.source(spark, f"file://{tmp_path}/feed"), size=5, lanes=1)
     q = out.writeStream.format("memory").queryName("fired").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").start()
-    q.processAllAvailable()
+    until = time.time() + 60  # a query with timers always has a batch to run, so it is never idle
+    while time.time() < until and spark.table("fired").count() == 0:
+        q.awaitTermination(1)
     q.stop()
     fired = spark.table("fired").select(F.explode("paths").alias("p"), "reason").collect()
     assert {r.p for r in fired} == {f"f{k}" for k in range(12)} and {r.reason for r in fired} == {"count"}
