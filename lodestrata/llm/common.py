@@ -63,13 +63,13 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
 def lowest_hashes(rows: DataFrame, want: int, *key: str, group: str | None = None) -> DataFrame:
     """The ``want`` rows (of each group) whose keys have the lowest hashes, with their ``place``: a bounded sample.
 
-    Groups are counted first, and only rows below a hash that about 4 * want + 64 rows of a group are below
+    Groups are counted first (a written table, so that Spark knows its size and joins it accordingly), and only rows below a hash that about 4 * want + 64 rows of a group are below
     are ranked, so no task sees more of a large group, however many tasks there are.
     """
     h = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
     by = F.col(group) if group else F.lit("all")
     keyed = rows.withColumns({"__ls_g": by, "__ls_h": h})
-    counts = keyed.groupBy("__ls_g").agg(F.count(F.lit(1)).alias("__ls_n"))
+    counts = Scratch(rows.sparkSession, "counts").keep(keyed.groupBy("__ls_g").agg(F.count(F.lit(1)).alias("__ls_n")))
     joined = keyed.join(counts, "__ls_g")
     low = joined.where(F.col("__ls_h") * F.col("__ls_n").cast("double") < float((4 * want + 64) * (1 << 40)))
     order = Window.partitionBy("__ls_g").orderBy("__ls_h", *key)
@@ -259,7 +259,7 @@ class WordTokenizer:
 
     PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?%$#&*]*)$"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -359,7 +359,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def tokenized(batch: pa.RecordBatch, path: str, limit: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def tokenized(batch: pa.RecordBatch, path: str, limit: int = 12 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, bounds) of runs of rows of column ``text``, about ``limit`` bytes each."""
     column = batch.column("text").cast(pa.large_string())
     _, offsets = string_bytes(column)

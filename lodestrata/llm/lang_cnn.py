@@ -133,6 +133,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 8, b
 def predict(net: Network, column: pa.Array, limit: int = 2 << 20) -> tuple[list[str], np.ndarray]:
     """Language and probability of each row, from all its windows, in bounded memory."""
     n = len(column)
+    if not net.languages:
+        return ["und"] * n, np.zeros(n)
     total, weight = np.zeros((n, max(1, len(net.languages)))), np.zeros(n)
     buf, offsets = string_bytes(column)
     for low in range(0, len(buf), limit):  # windows that begin in these bytes; a long text spans many turns
@@ -141,14 +143,16 @@ def predict(net: Network, column: pa.Array, limit: int = 2 << 20) -> tuple[list[
         bounds = offsets[first : last + 1].copy()
         begin = max(low, int(bounds[0]))
         begin = int(bounds[0]) + -(-(begin - int(bounds[0])) // WINDOW) * WINDOW
-        bounds[0] = begin
+        bounds[0] = min(begin, int(bounds[1]))  # the first row may have no window that begins here
+        if len(bounds) == 2 and begin >= high:
+            continue
         end = int(bounds[-1])
         if end > high:
             start = int(bounds[-2]) if len(bounds) > 2 else begin
             end = start + -(-(high - start) // WINDOW) * WINDOW
             end = min(end, int(bounds[-1]))
         tail = min(len(buf), int(bounds[-1]), end + max(WIDTHS) - 1)
-        bounds[-1] = max(begin, tail)
+        bounds[-1] = max(int(bounds[-2]), tail)
         x, row, size = windows(buf, bounds)
         if bounds[-1] > end:  # the last bytes are only looked at, from the window before
             drop = (row == len(bounds) - 2) & (np.arange(len(row)) >= len(row) - 1) & (size < max(WIDTHS))

@@ -147,11 +147,20 @@ def _follows(a: dict, b: dict | None) -> bool:
     return b is not None and all(a[k] == b[k] for k in ("version", "layer", "hz"))
 
 
+def _sound(data: bytes, at: int, h: dict) -> bool:
+    """Whether a frame's checksum is right, where it has one that can be verified."""
+    n = covered(h) if h["checked"] else None
+    if n is None:
+        return True
+    row = np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n], np.uint8)
+    return int(crc16(row[None, :])[0]) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 def parse(data: bytes) -> dict:
     """All that one stream holds. ``offsets`` and ``lengths`` have every audio frame, without a table's frame.
 
     A header counts where the next frame follows it, or the audio ends with its frame, or it follows
-    another frame; other bytes are skipped one sync word at a time and counted as junk.
+    another frame and its checksum, if any, is right; other bytes are skipped one sync word at a time and counted as junk.
     """
     tags, at, end = read_tags(data)
     view = np.frombuffer(data, np.uint8)
@@ -161,7 +170,7 @@ def parse(data: bytes) -> dict:
     while at < end:
         h = header(data, at)
         stop = at + h["length"] if h else 0
-        good = h is not None and h["length"] > 4 and stop <= end and (stop == end or _follows(h, header(data, stop)) or (synced and _follows(last, h)))
+        good = h is not None and h["length"] > 4 and stop <= end and (stop == end or _follows(h, header(data, stop)) or (synced and _follows(last, h) and last["mode"] == h["mode"] and _sound(data, at, h)))
         if not good:
             resyncs += synced
             synced = False

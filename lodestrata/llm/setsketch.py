@@ -12,7 +12,7 @@ All links of a candidate group are found without all its pairs:
    three likeliest of a class's pairs are checked.
 3. Links give components. Buckets whose members are all in one component are done.
 4. In the others, members of different components are compared by registers, block by block. Of each document's
-   likely partners the 4 likeliest of each component beside its own go on to the check on full sets.
+   likely partners in other components a block's 4 likeliest go on to the check on full sets.
 5. What is still split then is settled in one exact round: the documents that have a likely partner in another
    component meet in blocks with their full sets, and each block gives one link for each two components that
    it joins, not its pairs.
@@ -336,17 +336,12 @@ def _likely_across(rows: pa.Table, cut: float) -> Iterator[tuple[int, np.ndarray
 
 
 def likeliest(dealt: DataFrame, most: int, cut: float) -> DataFrame:
-    """Pairs (a, x): for each document and component beside its own, a cell's ``most`` likeliest ones."""
+    """Pairs (a, x): for each document a cell's ``most`` likeliest partners in other components."""
 
     def work(rows: pa.Table) -> list[tuple[np.ndarray, ...]]:
-        rep, comp, _, _ = _numbers(rows)
-        out = []
+        rep, out = rows.column("rep").to_numpy(), []
         for k, to, est in _likely_across(rows, cut):
-            order = np.lexsort((rep[to], -est, comp[to]))
-            group = comp[to][order]
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            to = to[order[rank < most]]
+            to = to[np.lexsort((rep[to], -est))[:most]]
             out.append((np.minimum(rep[to], rep[k]), np.maximum(rep[to], rep[k])))
         return out
 

@@ -38,6 +38,7 @@ RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|m
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption title head".split())
 ASIDE_TAGS = set("nav aside footer form button head title dialog menu".split())
 ASIDE_NAMES = set("nav navbar navigation menu sidebar ad ads advert adverts advertisement sponsored banner cookie cookies consent notice notices alert comment comments commentlist respond disqus footer breadcrumb breadcrumbs share sharing social related promo newsletter subscribe popup modal toolbar masthead pagination pager complementary contentinfo widget".split())
+HOLDERS = set("div section article main body td center table".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -336,7 +337,7 @@ def locate(wrapper: list) -> list | None:
         if n[0] == "tag" and n[1][0] != "/":
             nth = counted.get(n[1], 0)
             counted[n[1]] = nth + 1
-            if k in ends or n[1].split(".")[0] in ("article", "main", "body"):
+            if n[1].split(".")[0] in HOLDERS and (k in ends or n[1].split(".")[0] in ("article", "main", "body")):
                 found.append((weight[ends.get(k, len(nodes))] - weight[k], k, n[1], nth))
     named = [x for x in found if x[2].split(".")[0] in ("article", "main") and x[0] > 0.3 * running]
     if named:
