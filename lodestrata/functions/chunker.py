@@ -83,9 +83,10 @@ def _slow_boundaries(data: bytes, least: int, target: int, most: int) -> np.ndar
     return np.array(ends, np.int64)
 
 
-def chunk_files(files: DataFrame, key: str, content: str, least: int = 64 << 10, target: int = 512 << 10, most: int = 8 << 20) -> DataFrame:
-    """(key, pos, start, length, chunk_hash) of every file; a worker holds one batch of files."""
+def chunk_files(files: DataFrame, key: str, content: str, least: int = 64 << 10, target: int = 512 << 10, most: int = 8 << 20, payload: bool = False) -> DataFrame:
+    """(key, pos, start, length, chunk_hash) of every file, with the chunk's bytes as ``data`` if ``payload``; a worker holds one batch of files."""
     kind = files.schema[key].dataType.simpleString()
+    names = [key, "pos", "start", "length", "chunk_hash"] + ["data"] * payload
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,8 +95,13 @@ def chunk_files(files: DataFrame, key: str, content: str, least: int = 64 << 10,
                 data = b"" if data is None else data.encode() if isinstance(data, str) else bytes(data)
                 start = 0
                 for pos, end in enumerate(boundaries(data, least, target, most).tolist()):
-                    rows.append((name, pos, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
+                    part = data[start:end]
+                    rows.append((name, pos, start, end - start, hashlib.sha256(part).hexdigest()) + ((part,) if payload else ()))
                     start = end
-            yield pd.DataFrame(rows, columns=[key, "pos", "start", "length", "chunk_hash"])
+                if payload:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
-    return files.select(key, content).mapInPandas(run, f"{key} {kind}, pos int, start long, length long, chunk_hash string")
+    return files.select(key, content).mapInPandas(run, f"{key} {kind}, pos int, start long, length long, chunk_hash string" + ", data binary" * payload)

@@ -46,11 +46,23 @@ def compress(column: Column, level: int = 3) -> Column:
     return run(column)
 
 
-def decompress(column: Column) -> Column:
+def decompress(column: Column, strict: bool = True) -> Column:
+    """The raw bytes of frames; a broken frame raises, or gives null if not ``strict``."""
+
+    def one(v):
+        if v is None:
+            return None
+        try:
+            return unframe(bytes(v))
+        except (ValueError, zstandard.ZstdError):
+            if strict:
+                raise
+            return None
+
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda v: None if v is None else unframe(bytes(v)))
+            yield s.map(one)
 
     return run(column)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import chunker, codec, parity, text
 from lodestrata.operators import audit, dedup, lineage, packing, retention
-from lodestrata.sources import tree
+from lodestrata.sources import packs, tree
 from lodestrata.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -641,3 +641,49 @@ def relocate_after_compaction(spark, sf_dir):
 def multi_source_tree(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.octet_length("html").cast("long").alias("size"))
     return tree.under_root("backup-1", {"documents": files(spark, sf_dir).select("path", "size"), "pages": p})
+
+
+# --- pack files ----------------------------------------------------------------------------
+
+
+def _packed(spark, sf_dir):
+    """Texts as chunks, 50 numbers of documents to a pack."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    chunks = docs.select(F.call_function("div", F.col("doc_id"), F.lit(50).cast("long")).alias("pack_id"), "doc_id", F.sha2("text", 256).alias("chunk_hash"), F.col("text").cast("binary").alias("stored"))
+    w = Window.partitionBy("pack_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("stored").cast("long") + packing.ENTRY).over(w), F.lit(0).cast("long"))
+    return chunks.withColumn("pack_offset", before + packing.HEADER)
+
+
+PACKED = """c AS (
+    SELECT doc_id // 50 AS pack_id, doc_id, sha256(text) AS chunk_hash, CAST(octet_length(encode(text)) AS BIGINT) AS stored_size
+    FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(
+    "pack_directory",
+    f"WITH {PACKED} SELECT CAST(pack_id AS BIGINT) AS pack_id, chunk_hash, CAST(14 + coalesce(sum(69 + stored_size) OVER (PARTITION BY pack_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pack_offset, stored_size FROM c",
+)
+def pack_directory(spark, sf_dir):
+    """Writes packs and walks their entries."""
+    return packs.list_chunks(packs.build_packs(_packed(spark, sf_dir))).drop("error")
+
+
+@query("pack_checksums", f"WITH {PACKED} SELECT DISTINCT CAST(pack_id AS BIGINT) AS pack_id, CASE WHEN pack_id % 3 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM c")
+def pack_checksums(spark, sf_dir):
+    """Every third pack loses its last byte to another."""
+    built = packs.build_packs(_packed(spark, sf_dir))
+    last = F.when(F.substring("content", -1, 1) == F.lit(b"\x00"), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    changed = F.concat(F.substring("content", F.lit(1), F.octet_length("content") - 1), last)
+    return packs.verify_packs(built.withColumn("content", F.when(F.col("pack_id") % 3 == 0, changed).otherwise(F.col("content"))))
+
+
+@query(
+    "pack_point_reads",
+    f"WITH {PACKED} SELECT chunk_hash, CAST(pack_id AS BIGINT) AS pack_id, CASE WHEN pack_id % 5 = 0 THEN 'missing' ELSE 'ok' END AS status, CASE WHEN pack_id % 5 <> 0 THEN chunk_hash END AS read_sha256 FROM c",
+)
+def pack_point_reads(spark, sf_dir):
+    """Reads each chunk at its place; every fifth pack is gone."""
+    placed = _packed(spark, sf_dir)
+    read = packs.read_chunks(packs.build_packs(placed).where("pack_id % 5 <> 0"), placed.select("chunk_hash", "pack_id", "pack_offset"))
+    return read.select("chunk_hash", "pack_id", "status", F.sha2("stored", 256).alias("read_sha256"))
