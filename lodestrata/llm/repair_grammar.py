@@ -37,6 +37,7 @@ MAGIC = b"LRP1"
 SHARD_IDS = 1 << 20
 ROUNDS = 6
 LEAST = 8
+TABLE = 1 << 22  # entries of a look-up table of pairs; more are searched
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> bytes:
@@ -67,19 +68,10 @@ def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: i
             at = _alternate(np.flatnonzero(key == chosen[0]))
             symbol = np.zeros(len(at), np.int64)
         else:
-            order = np.sort(chosen)
-            left, right = np.zeros(next_symbol, bool), np.zeros(next_symbol, bool)
-            left[order >> 32] = True
-            right[order & 0xFFFFFFFF] = True
-            at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-            place = np.minimum(np.searchsorted(order, key[at]), len(order) - 1)
-            hit = order[place] == key[at]
-            at, symbol = at[hit], place[hit]
-            chosen = order
+            chosen = np.sort(chosen)
+            at, symbol = _places(chosen, seq, key, next_symbol)
         seq[at] = next_symbol + symbol
-        gone = np.zeros(len(seq) + 1, np.int64)
-        gone[at + 2] = 1
-        ends = ends - np.cumsum(gone)[ends]
+        ends = ends - np.searchsorted(at, ends - 2, "right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
@@ -96,11 +88,35 @@ def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: i
 
 
 def _count(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort(key[key >= 0])
+    key = np.sort(key)
+    key = key[np.searchsorted(key, 0) :]
     if not len(key):
         return key, key
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.diff(np.append(first, len(key)))
+    last = np.flatnonzero(key[1:] != key[:-1])
+    bounds = np.concatenate([[0], last + 1, [len(key)]])
+    return key[bounds[:-1]], np.diff(bounds)
+
+
+def _places(pairs: np.ndarray, seq: np.ndarray, key: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted ``pairs`` occur, and which of them.
+
+    Left and right ids have small numbers of their own, so a pair's number is read from a table; pairs
+    of very many ids are searched for instead.
+    """
+    left, right = np.zeros(symbols, np.int32), np.zeros(symbols, np.int32)
+    lefts, rights = np.unique(pairs >> 32), np.unique(pairs & 0xFFFFFFFF)
+    left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    at = np.flatnonzero(left.astype(bool)[seq[:-1]] & right.astype(bool)[seq[1:]])
+    if len(lefts) * len(rights) <= TABLE:
+        table = np.full((len(lefts), len(rights)), -1, np.int32)
+        table[left[pairs >> 32] - 1, right[pairs & 0xFFFFFFFF] - 1] = np.arange(len(pairs))
+        place = table[left[seq[at]] - 1, right[seq[at + 1]] - 1]
+        place[key[at] < 0] = -1  # across two documents
+        hit = place >= 0
+    else:
+        place = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
+        hit = pairs[place] == key[at]
+    return at[hit], place[hit].astype(np.int64)
 
 
 def _disjoint(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
