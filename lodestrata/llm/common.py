@@ -243,6 +243,7 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 # --- token ids -----------------------------------------------------------------------------
 
+_TURN = 1 << 18
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -340,16 +341,20 @@ class WordTokenizer:
             self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new[again]))])
             self.ids = np.concatenate([self.ids, ids[spread((np.cumsum(sizes) - sizes)[again], sizes[again])]])
             self.sizes = np.concatenate([self.sizes, sizes[again]])
-        slot = slot[index]
-        size = all_sizes[slot]
-        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        return all_ids[spread(starts[slot], size)], ends[bounds]
+        ends = np.concatenate([[0], np.cumsum(all_sizes[slot][index], dtype=np.int64)])
+        out = np.empty(int(ends[-1]), np.uint32)
+        for low in range(0, len(index), _TURN):  # positions are eight bytes an id: some at a time
+            part = slot[index[low : low + _TURN]]
+            out[ends[low] : ends[low + len(part)]] = all_ids[spread(starts[part], all_sizes[part])]
+        return out, ends[bounds]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all runs (start, size), one run after another."""
     ends = np.cumsum(sizes, dtype=np.int64)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def tokenizer(path: str) -> WordTokenizer:
