@@ -4,7 +4,8 @@ Pages of one host come from a few templates. The token stream of one page is the
 further page is aligned with it and mismatches are resolved without unions: texts that differ become
 slots, a run of equal pieces becomes a repeated group, and what only one side has becomes an
 optional group. From the wrapper the element with the varying text is taken as the content; a page's
-text is what stands there, without parts that are named as something else.
+text is what stands there, without parts that are named as something else and, where the element is no
+article or main, without blocks that are the same on all pages.
 
 Cases: null and empty pages have empty text; a page without the wrapper's content element falls back to
 the best element of its own stream; a null url is a host of its own; pages that repeat are kept; a host
@@ -14,7 +15,9 @@ are ignored. Ties between elements go to the one that comes first.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -80,8 +83,8 @@ class Page:
         self.kind.append(kind)
         self.value.append(value)
 
-    def text(self, low: int, high: int) -> str:
-        """Blocks between two tokens, one a line, without aside elements."""
+    def text(self, low: int, high: int, fixed: dict[str, list[str]] | None = None) -> str:
+        """Blocks between two tokens, one a line, without aside elements and those that equal a fixed block (signature: digests)."""
         blocks, part, k = [], [], low
         while k < high:
             kind, value = self.kind[k], self.value[k]
@@ -89,7 +92,7 @@ class Page:
                 part.append(value)
             else:
                 name = value if kind == 2 else value[0]
-                if kind == 1 and value[2] and k in self.end:
+                if kind == 1 and k in self.end and (value[2] or (fixed and value[1] in fixed and self.digest(k) in fixed[value[1]])):
                     blocks.append("".join(part))
                     part, k = [], self.end[k] + 1
                     continue
@@ -103,6 +106,11 @@ class Page:
         clean = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
         return "\n".join(b for b in clean if b)
 
+    def digest(self, k: int) -> str:
+        """Of the texts in an element."""
+        texts = (SPACE.sub(" ", entities.unescape(self.value[x])).strip() for x in range(k, self.end[k]) if self.kind[x] == 0)
+        return _digest([t for t in texts if t])
+
     def find(self, signature: str, nth: int) -> tuple[int, int] | None:
         """The tokens inside the nth element with a signature; to the end where it isn't closed."""
         for k, kind in enumerate(self.kind):
@@ -132,7 +140,12 @@ def _named(name: str, attributes: str) -> tuple[str, bool]:
     return _SEEN[key]
 
 
+def _digest(texts: list[str]) -> str:
+    return hashlib.md5("\0".join(sorted(texts)).encode("utf-8", "replace")).hexdigest()
+
+
 # --- wrappers: nodes are [kind, ...] with kind tag, text, slot, opt or rep -----------------
+# A slot has its characters and, as long as all pages have the same there, its texts joined by \0; else None.
 
 
 def stream(page: Page) -> list:
@@ -167,7 +180,7 @@ def fold(nodes: list, longest: int = 24) -> list:
             if nodes[k][0] != "text" and nodes[k][0] != "slot" and k + 2 * size <= len(nodes) and shapes[k] == shapes[k + size] and shapes[k : k + size] == shapes[k + size : k + 2 * size] and _balanced(nodes[k : k + size]):
                 body, end = nodes[k : k + size], k + size
                 while shapes[end : end + size] == shapes[k : k + size]:
-                    body = [merge(a, b) for a, b in zip(body, nodes[end : end + size], strict=True)]
+                    body = [merge(a, b, False) for a, b in zip(body, nodes[end : end + size], strict=True)]
                     end += size
                 out.append(body[0] if size == 1 and body[0][0] == "rep" else ["rep", body])
                 k = end
@@ -194,15 +207,19 @@ def chars(node: list) -> int:
     return node[2] if node[0] == "text" else node[1] if node[0] == "slot" else sum(chars(n) for n in node[1]) if node[0] in ("opt", "rep") else 0
 
 
-def merge(a: list, b: list) -> list:
-    """One node for two that stand for each other."""
+def merge(a: list, b: list, pages: bool = True) -> list:
+    """One node for two that stand for each other: on two pages, or in two rounds of a repeat."""
     if a[0] == "tag":
         return a
     if a[0] in ("text", "slot"):
-        if a[0] == b[0] == "text" and a[1] == b[1]:
-            return ["text", a[1], a[2] + b[2]]
-        return ["slot", chars(a) + chars(b)]
-    return [a[0], align(a[1], b[1])]
+        one, two = (n[1] if n[0] == "text" else n[2] for n in (a, b))
+        n = chars(a) + chars(b)
+        if not pages:
+            return ["slot", n, None if one is None or two is None else one + "\0" + two]
+        if a[0] == b[0] == "text" and one == two:
+            return ["text", one, n]
+        return ["slot", n, one if one == two else None]
+    return [a[0], align(a[1], b[1], pages)]
 
 
 def like(a: list, b: list) -> int:
@@ -210,13 +227,13 @@ def like(a: list, b: list) -> int:
     if a[0] == "tag" or b[0] == "tag":
         return 3 if a[0] == b[0] and a[1] == b[1] else 0
     if a[0] in ("text", "slot"):
-        return (2 if a == b else 1) if b[0] in ("text", "slot") else 0
+        return (2 if a[:2] == b[:2] else 1) if b[0] in ("text", "slot") else 0
     if a[0] == b[0]:
         return 3 if shape(a) == shape(b) else 2 if shape(a[1][0]) == shape(b[1][0]) else 0
     return 0
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages: bool = True) -> list:
     """The wrapper of two streams: a best alignment in order; what only one side has is optional.
 
     A repeated group meets a single piece of its kind by taking it as one round; an optional group meets its own
@@ -259,11 +276,11 @@ def align(a: list, b: list) -> list:
         else:
             close()
             if how == 3:
-                out.append(merge(a[i], b[j]))
+                out.append(merge(a[i], b[j], pages))
                 i, j = i + 1, j + 1
             else:
                 x, y, at = (a[i], b, j) if how == 4 else (b[j], a, i)
-                out.append([x[0], [merge(p, q) for p, q in zip(x[1], y[at : at + len(x[1])], strict=True)]])
+                out.append([x[0], [merge(p, q, pages) for p, q in zip(x[1], y[at : at + len(x[1])], strict=True)]])
                 i, j = (i + 1, j + len(x[1])) if how == 4 else (i + len(x[1]), j + 1)
     close()
     return out
@@ -276,7 +293,7 @@ def infer(pages: list[str]) -> dict:
         nodes = fold(stream(Page(source)))
         wrapper = nodes if k == 0 else fold(align(wrapper, nodes))
     content = locate(wrapper)
-    return {"expression": written(wrapper), "content": content, "pages": len(pages)}
+    return {"expression": written(wrapper), "content": content, "fixed": fixed_blocks(wrapper, content), "pages": len(pages)}
 
 
 def written(nodes: list) -> str:
@@ -294,21 +311,21 @@ def written(nodes: list) -> str:
     return "".join(out)
 
 
-def flat(nodes: list) -> list:
-    out = []
+def flat(nodes: list, optional: bool = False) -> tuple[list, list[bool]]:
+    """Nodes without their groups, and whether each is text that differs between pages or isn't on all of them."""
+    out, varies = [], []
     for n in nodes:
-        out += flat(n[1]) if n[0] in ("opt", "rep") else [n]
-    return out
+        if n[0] in ("opt", "rep"):
+            inner, differs = flat(n[1], optional or n[0] == "opt")
+            out += inner
+            varies += differs
+        else:
+            out.append(n)
+            varies.append(n[0] != "tag" and (optional or (n[0] == "slot" and n[2] is None)))
+    return out, varies
 
 
-def locate(wrapper: list) -> list | None:
-    """[signature, number] of the element with the content.
-
-    Weighed is the text of each element that stands in slots or repeats, outside links and elements that
-    are something else; an article or main element with most of its page's text wins, else the innermost
-    element with at least 0.6 of all such text.
-    """
-    nodes = flat(wrapper)
+def closings(nodes: list) -> dict[int, int]:
     ends, waiting = {}, {}
     for k, n in enumerate(nodes):
         if n[0] != "tag":
@@ -318,6 +335,37 @@ def locate(wrapper: list) -> list | None:
             waiting.setdefault(name, []).append(k)
         elif n[1][0] == "/" and waiting.get(name):
             ends[waiting[name].pop()] = k
+    return ends
+
+
+def fixed_blocks(wrapper: list, content: list | None) -> dict[str, list[str]]:
+    """Blocks whose text is the same on all pages: signature and digests. None if no text differs, or in an article or main."""
+    nodes, varies = flat(wrapper)
+    out: dict[str, list[str]] = {}
+    if not any(varies) or not content or content[0].split(".")[0] in ("article", "main"):
+        return out
+    ends, done = closings(nodes), -1
+    before = [0, *itertools.accumulate(varies)]
+    for k, n in enumerate(nodes):
+        if k > done and k in ends and n[1].split(".")[0] in HOLDERS and before[k] == before[ends[k]]:
+            texts = [t for x in nodes[k : ends[k]] if x[0] != "tag" for t in (x[1] if x[0] == "text" else x[2]).split("\0")]
+            done = ends[k]
+            if texts:
+                out.setdefault(n[1], []).append(_digest(texts))
+    return out
+
+
+def locate(wrapper: list) -> list | None:
+    """[signature, number] of the element with the content.
+
+    Weighed is the text of each element that differs between pages or isn't on all of them (all text where
+    none differs, as on a host with one page), outside links and elements that are something else; an article
+    or main element with most of its page's text wins, else the innermost element with at least 0.6 of all
+    such text.
+    """
+    nodes, varies = flat(wrapper)
+    same = not any(varies)
+    ends = closings(nodes)
     weight, k = [0] * (len(nodes) + 1), 0
     running, link_until, beside_until = 0, -1, -1
     for k, n in enumerate(nodes):
@@ -327,7 +375,7 @@ def locate(wrapper: list) -> list | None:
                 beside_until = max(beside_until, ends[k])
             if n[1].split(".")[0] == "a" and k in ends:
                 link_until = max(link_until, ends[k])
-        elif k > beside_until and k > link_until:
+        elif (same or varies[k]) and k > beside_until and k > link_until:
             running += chars(n)
     weight[len(nodes)] = running
     if not running:
@@ -355,7 +403,7 @@ def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
     page = Page(source)
     place = wrapper and wrapper["content"] and page.find(*wrapper["content"])
     if place:
-        return page.text(*place), True
+        return page.text(*place, wrapper["fixed"]), True
     own = locate(fold(stream(page)))
     place = own and page.find(*own)
     return page.text(*(place or (0, len(page.kind)))), False

@@ -351,6 +351,18 @@ def test_wrapper_groups():
         wrapper_html.apply(w, odd)
 
 
+def test_wrapper_weighs_what_differs():
+    legal = "<div class='imprint'>" + "".join(f"<p>Fixed clause {n} of the imprint that every page has word for word.</p>" for n in range(20)) + "</div>"
+    apart = "<html><body><div class='outer'><div class='text'><p>{0} is short.</p></div>" + legal + "</div></body></html>"
+    w = wrapper_html.infer([apart.format(x) for x in ("One", "Two", "Three")])
+    assert w["content"] == ["div.text", 0] and wrapper_html.apply(w, apart.format("Four"))[0] == "Four is short."
+    inside = "<html><body><div class='text'><p>{0} is short.</p>" + legal + "<p>Last of {0}.</p></div></body></html>"
+    w = wrapper_html.infer([inside.format(x) for x in ("One", "Two", "Three")])
+    assert wrapper_html.apply(w, inside.format("Four"))[0] == "Four is short.\nLast of Four."
+    w = wrapper_html.infer([inside.format("One")] * 2)  # nothing differs, nothing is left out
+    assert wrapper_html.apply(w, inside.format("One"))[0].count("clause") == 20
+
+
 # --- 8 and 9: native operators
 
 
