@@ -19,9 +19,11 @@ import hashlib
 import html as entities
 import itertools
 import json
+import operator
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,8 @@ from .common import Scratch, lowest_hashes, pick, tidy
 SAMPLE = 8
 #: Wrappers up to this many bytes in all go to every task; more are joined by host.
 BROADCAST_BYTES = 16 << 20
-#: Stream length that is aligned; repeated groups are folded before, so real streams stay far below.
-MOST_NODES = 400
+#: Steps of an alignment held at once, in bytes; those of longer streams are worked out in blocks of rows.
+STEP_BYTES = 64 << 20
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math"
@@ -171,23 +173,30 @@ def shape(node: list) -> tuple:
 
 def fold(nodes: list, longest: int = 24) -> list:
     """Runs of equal pieces that begin with a tag become repeated groups, short pieces first."""
+    shapes = [shape(n) for n in nodes]
     for size in range(1, longest + 1):
         if len(nodes) < 2 * size:
             break
-        shapes = [shape(n) for n in nodes]
-        out, k = [], 0
-        while k < len(nodes):
-            if nodes[k][0] != "text" and nodes[k][0] != "slot" and k + 2 * size <= len(nodes) and shapes[k] == shapes[k + size] and shapes[k : k + size] == shapes[k + size : k + 2 * size] and _balanced(nodes[k : k + size]):
-                body, end = nodes[k : k + size], k + size
-                while shapes[end : end + size] == shapes[k : k + size]:
+        run = b"\1" * size
+        equal = bytes(map(operator.eq, shapes, shapes[size:]))
+        at = equal.find(run)
+        if at < 0:
+            continue
+        out, names, k = [], [], 0
+        while at >= 0:
+            if nodes[at][0] not in ("text", "slot") and _balanced(nodes[at : at + size]):
+                body, end = nodes[at : at + size], at + size
+                while shapes[end : end + size] == shapes[at : at + size]:
                     body = [merge(a, b, False) for a, b in zip(body, nodes[end : end + size], strict=True)]
                     end += size
-                out.append(body[0] if size == 1 and body[0][0] == "rep" else ["rep", body])
+                made = body[0] if size == 1 and body[0][0] == "rep" else ["rep", body]
+                out += [*nodes[k:at], made]
+                names += [*shapes[k:at], shape(made)]
                 k = end
+                at = equal.find(run, end)
             else:
-                out.append(nodes[k])
-                k += 1
-        nodes = out
+                at = equal.find(run, at + 1)
+        nodes, shapes = out + nodes[k:], names + shapes[k:]
     return nodes
 
 
@@ -233,30 +242,103 @@ def like(a: list, b: list) -> int:
     return 0
 
 
+def _steps(a: list, b: list, step_bytes: int = STEP_BYTES):
+    """The best step at (i, j) of an alignment, asked for by rising i: 1 and 2 leave out a node of a or b, 3 pairs them, 4 and 5 take a group of a or b.
+
+    All cells are worked out, row by row from the last. Kept are the sums of one row in each block of rows and the
+    steps of one block, so memory is bounded however long the streams are.
+    """
+    n, m = len(a), len(b)
+    numbers: dict[tuple, int] = {}
+    kinds = lambda nodes, what: np.array([numbers.setdefault(what(x), len(numbers)) for x in nodes], np.int64)
+    shapes_a, shapes_b = kinds(a, shape), kinds(b, shape)
+    # nodes of equal looks have equal weights: one row of weights for each
+    looks = lambda x: tuple(x[:2]) if x[0] == "text" else shape(x)
+    looks_a, looks_b = [looks(x) for x in a], kinds(b, looks)
+    first_b = {int(k): x for k, x in zip(looks_b[::-1], b[::-1], strict=True)}
+    weights: dict[tuple, np.ndarray] = {}
+
+    def weigh(i: int) -> np.ndarray:
+        if looks_a[i] not in weights:
+            if len(weights) * m > step_bytes:
+                weights.clear()
+            table = np.zeros(len(numbers), np.uint8)
+            for k, x in first_b.items():
+                table[k] = like(a[i], x)
+            weights[looks_a[i]] = table[looks_b]
+        return weights[looks_a[i]]
+
+    def places(x: list, other: np.ndarray) -> list[int]:
+        inner = [numbers.get(shape(y), -1) for y in x[1]]
+        at = np.flatnonzero(other[: max(0, len(other) - len(inner) + 1)] == inner[0])
+        return [int(k) for k in at if other[k : k + len(inner)].tolist() == inner]
+
+    of_a = {i: found for i, x in enumerate(a) if x[0] in ("rep", "opt") and (found := places(x, shapes_b))}
+    of_b: dict[int, list[tuple[int, int]]] = {}  # row: column and the row behind the group
+    wanted: dict[int, set[int]] = {}  # sums that these need
+    for j, x in enumerate(b):
+        if x[0] in ("rep", "opt"):
+            for i in places(x, shapes_a):
+                of_b.setdefault(i, []).append((j, i + len(x[1])))
+                wanted.setdefault(i + len(x[1]), set()).add(j + 1)
+    sums: dict[tuple[int, int], int] = {(i, j): 0 for i, js in wanted.items() if i == n for j in js}
+
+    def row(i: int, below: np.ndarray, how: np.ndarray | None) -> np.ndarray:
+        w = weigh(i)
+        pair = np.where(w > 0, w + below[1:], -1)
+        grouped_a = [(j, 3 + int(below[j + len(a[i][1])])) for j in of_a.get(i, ())]
+        grouped_b = [(j, 3 + sums[end, j + 1]) for j, end in of_b.get(i, ())]
+        own = np.zeros(m + 1, np.int64)
+        own[:m] = np.maximum(below[:m], pair)
+        for j, x in grouped_a + grouped_b:
+            own[j] = max(own[j], x)
+        own = np.maximum.accumulate(own[::-1])[::-1]
+        for j in wanted.get(i, ()):
+            sums[i, j] = int(own[j])
+        if how is not None:
+            top = np.maximum(below[:m], own[1:])
+            how[:] = np.where(own[1:] > below[:m], 2, 1)
+            how[pair >= top] = 3
+            top = np.maximum(top, pair)
+            for number, grouped in ((4, grouped_a), (5, grouped_b)):
+                for j, x in grouped:
+                    if x > top[j]:
+                        top[j], how[j] = x, number
+        return own
+
+    size = max(1, step_bytes // max(1, m))
+    last = np.zeros(m + 1, np.int64)
+    kept, low = {n: last}, n
+    if n > size:
+        for i in range(n - 1, -1, -1):
+            last = row(i, last, None)
+            if i % size == 0:
+                kept[i] = last
+    block = np.zeros((0, m), np.uint8)
+
+    def step(i: int, j: int) -> int:
+        nonlocal block, low
+        if not low <= i < low + len(block):
+            low = i - i % size
+            high = min(n, low + size)
+            block, below = np.zeros((high - low, m), np.uint8), kept[high]
+            for k in range(high - 1, low - 1, -1):
+                below = row(k, below, block[k - low])
+        return int(block[i - low, j])
+
+    return step
+
+
 def align(a: list, b: list, pages: bool = True) -> list:
     """The wrapper of two streams: a best alignment in order; what only one side has is optional.
 
     A repeated group meets a single piece of its kind by taking it as one round; an optional group meets its own
     content by staying optional.
     """
-    a, b = a[:MOST_NODES], b[:MOST_NODES]
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    step = [[0] * (m + 1) for _ in range(n + 1)]
-    group = lambda x, other, at: len(x[1]) if x[0] in ("rep", "opt") and [shape(y) for y in other[at : at + len(x[1])]] == [shape(y) for y in x[1]] else 0
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            top, how = best[i + 1][j], 1
-            if best[i][j + 1] > top:
-                top, how = best[i][j + 1], 2
-            if w := like(a[i], b[j]):
-                if w + best[i + 1][j + 1] >= top:
-                    top, how = w + best[i + 1][j + 1], 3
-            if a[i][0] in ("rep", "opt") and (k := group(a[i], b, j)) and 3 + best[i + 1][j + k] > top:
-                top, how = 3 + best[i + 1][j + k], 4
-            if b[j][0] in ("rep", "opt") and (k := group(b[j], a, i)) and 3 + best[i + k][j + 1] > top:
-                top, how = 3 + best[i + k][j + 1], 5
-            best[i][j], step[i][j] = top, how
+    if [shape(x) for x in a] == [shape(x) for x in b]:
+        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
+    step = _steps(a, b)
     out, only = [], []
     i = j = 0
 
@@ -266,7 +348,7 @@ def align(a: list, b: list, pages: bool = True) -> list:
             only.clear()
 
     while i < n or j < m:
-        how = 1 if j == m else 2 if i == n else step[i][j]
+        how = 1 if j == m else 2 if i == n else step(i, j)
         if how == 1:
             only.append(a[i])
             i += 1

@@ -363,6 +363,21 @@ def test_wrapper_weighs_what_differs():
     assert wrapper_html.apply(w, inside.format("One"))[0].count("clause") == 20
 
 
+def test_long_streams_are_aligned_whole():
+    inline = ("<b>{0}</b>", "<i>{0}</i>", "<a href='/'>{0}</a>", "<em>{0}</em>", "<code>{0}</code>")
+    part = lambda k, n: "<p>" + "".join(f"w{k} " + inline[(n * (k + 1) // 5**d) % 5].format(n) for d in range(4)) + "</p>"
+    long = lambda k, size: f"<html><body><div class='lead'>{part(k, k)}</div><div class='text'>" + "".join(part(k, n) for n in range(size)) + f"</div><div class='end'><p>end of {k}</p></div></body></html>"
+    streams = [wrapper_html.fold(wrapper_html.stream(wrapper_html.Page(long(k, 150)))) for k in range(2)]
+    assert min(map(len, streams)) > 400
+    w = wrapper_html.infer([long(k, 150) for k in range(3)])
+    assert w["content"] == ["div.text", 0] and w["expression"].endswith("<div.end><p>#TEXT</p></div></body></html>")
+    text, by_wrapper = wrapper_html.apply(w, long(7, 150))
+    assert by_wrapper and text.count("\n") == 149
+    whole = wrapper_html._steps(*streams)
+    blocks = wrapper_html._steps(*streams, step_bytes=5000)
+    assert all(whole(i, j) == blocks(i, j) for i in range(len(streams[0])) for j in range(0, len(streams[1]), 7))
+
+
 # --- 8 and 9: native operators
 
 
