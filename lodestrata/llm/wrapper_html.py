@@ -1,14 +1,15 @@
-"""Main text of web pages by wrappers: union-free regular expressions over tags, inferred host by host.
+"""Main text of web pages by wrappers: union-free regular expressions over tags, inferred template by template.
 
-Pages of one host come from a few templates. The token stream of one page is the first wrapper; each
-further page is aligned with it and mismatches are resolved without unions: texts that differ become
+Pages of one host come from a few templates: pages whose containers outside aside elements have the same distinct
+signatures in the same order. Every distinct page of a template takes part. Pages of equal shape are merged
+node by node first; the stream of one shape is the first wrapper of the template; each further one is aligned with it and mismatches are resolved without unions: texts that differ become
 slots, a run of equal pieces becomes a repeated group, and what only one side has becomes an
 optional group. From the wrapper the element with the varying text is taken as the content; a page's
 text is what stands there, without parts that are named as something else and, where the element is no
 article or main, without blocks that are the same on all pages.
 
 Cases: null and empty pages have empty text; a page without the wrapper's content element falls back to
-the best element of its own stream; a null url is a host of its own; pages that repeat are kept; a host
+the best element of its own stream; a null url is a host of its own; pages that repeat are kept; a template
 with one page has that page's stream as wrapper; an empty table gives an empty table; other columns
 are ignored. Ties between elements go to the one that comes first.
 """
@@ -29,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lowest_hashes, pick, tidy
+from .common import Scratch, pick, tidy
 
-#: Pages of a host that its wrapper is inferred from, at most: those with the lowest hashes.
-SAMPLE = 8
+#: Streams or wrappers that one task aligns in a round, on average at most.
+FAN_IN = 16
+#: Nodes that a task holds while it merges pages of equal shape; then it writes them out as one part.
+HELD_NODES = 200_000
 #: Wrappers up to this many bytes in all go to every task; more are joined by host.
 BROADCAST_BYTES = 16 << 20
 #: Steps of an alignment held at once, in bytes; those of longer streams are worked out in blocks of rows.
@@ -113,6 +116,19 @@ class Page:
         texts = (SPACE.sub(" ", entities.unescape(self.value[x])).strip() for x in range(k, self.end[k]) if self.kind[x] == 0)
         return _digest([t for t in texts if t])
 
+    def template(self) -> str:
+        """The distinct signatures of the containers outside aside elements, in order."""
+        seen, k = {}, 0
+        while k < len(self.kind):
+            if self.kind[k] == 1:
+                name, signature, beside = self.value[k]
+                if beside and k in self.end:
+                    k = self.end[k]
+                elif name in HOLDERS:
+                    seen[signature] = None
+            k += 1
+        return hashlib.md5("\0".join(seen).encode("utf-8", "replace")).hexdigest()
+
     def find(self, signature: str, nth: int) -> tuple[int, int] | None:
         """The tokens inside the nth element with a signature; to the end where it isn't closed."""
         for k, kind in enumerate(self.kind):
@@ -369,13 +385,40 @@ def align(a: list, b: list, pages: bool = True) -> list:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages of one host: its expression, and where the content is."""
-    wrapper: list = []
-    for k, source in enumerate(pages):
-        nodes = fold(stream(Page(source)))
-        wrapper = nodes if k == 0 else fold(align(wrapper, nodes))
+    """The wrapper of some pages of one template: its expression, and where the content is."""
+    streams: dict[int, tuple[int, list]] = {}
+    for source in dict.fromkeys(pages):
+        _gather(streams, *_folded(Page(source)))
+    return described(*unite(streams))
+
+
+def _folded(page: Page) -> tuple[int, int, list]:
+    """A page as (shape's hash, 1, folded stream)."""
+    nodes = fold(stream(page))
+    return int.from_bytes(hashlib.md5(repr([shape(n) for n in nodes]).encode("utf-8", "replace")).digest()[:7], "little"), 1, nodes
+
+
+def _gather(streams: dict, key, pages: int, nodes: list) -> None:
+    """Streams of equal shape become one, node by node; in whatever order, the result is the same."""
+    if key in streams:
+        n, other = streams[key]
+        streams[key] = (n + pages, [merge(a, b) for a, b in zip(other, nodes, strict=True)])
+    else:
+        streams[key] = (pages, nodes)
+
+
+def unite(streams: dict[int, tuple[int, list]]) -> tuple[int, list]:
+    """Pages and wrapper of streams or wrappers, those of most pages first."""
+    order = sorted(streams.items(), key=lambda x: (-x[1][0], x[0]))
+    wrapper = order[0][1][1]
+    for _, (_, nodes) in order[1:]:
+        wrapper = fold(align(wrapper, nodes))
+    return sum(n for _, (n, _) in order), wrapper
+
+
+def described(pages: int, wrapper: list) -> dict:
     content = locate(wrapper)
-    return {"expression": written(wrapper), "content": content, "fixed": fixed_blocks(wrapper, content), "pages": len(pages)}
+    return {"expression": written(wrapper), "content": content, "fixed": fixed_blocks(wrapper, content), "pages": pages}
 
 
 def written(nodes: list) -> str:
@@ -480,9 +523,10 @@ def locate(wrapper: list) -> list | None:
 
 def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
     """A page's text, and whether the wrapper's content element was there."""
-    if not source:
-        return "", False
-    page = Page(source)
+    return read(wrapper, Page(source)) if source else ("", False)
+
+
+def read(wrapper: dict | None, page: Page) -> tuple[str, bool]:
     place = wrapper and wrapper["content"] and page.find(*wrapper["content"])
     if place:
         return page.text(*place, wrapper["fixed"]), True
@@ -491,28 +535,82 @@ def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
     return page.text(*(place or (0, len(page.kind)))), False
 
 
-def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper JSON), from at most ``sample`` pages of a host, so a large host is no hot group."""
-    few = lowest_hashes(pages.where("html IS NOT NULL AND html <> ''"), sample, "page_id", "url", group="host")
+def infer_wrappers(pages: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """(host, template, wrapper JSON) from all distinct pages.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = infer(rows.sort_values("place")["html"].tolist())
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(made)]})
+    Pages of equal shape are merged within each task and then across tasks. The streams of a template are
+    aligned in rounds, by ever shorter ends of their shapes' hashes, so that no task aligns all streams of a large template;
+    what is aligned with what depends on the pages only.
+    """
+    scratch = Scratch(pages.sparkSession, "streams")
+    columns = "host string, template string, shape long, pages long, nodes string"
+    types = pa.schema([("host", pa.string()), ("template", pa.string()), ("shape", pa.int64()), ("pages", pa.int64()), ("nodes", pa.string())])
 
-    return few.select("host", "place", "html").groupBy("host").applyInPandas(run, "host string, wrapper string")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str, int], tuple[int, list]] = {}
+        n = 0
 
+        def out() -> pa.RecordBatch:
+            rows = [(*key, count, json.dumps(nodes)) for key, (count, nodes) in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
 
-def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        for batch in batches:
+            for host, source in zip(batch.column("host"), batch.column("html"), strict=True):
+                page = Page(source.as_py())
+                key, count, nodes = _folded(page)
+                key = (host.as_py(), page.template(), key)
+                n += 0 if key in held else len(nodes)
+                _gather(held, key, count, nodes)
+                if n > HELD_NODES:
+                    yield out()
+                    held.clear()
+                    n = 0
+        if held:
+            yield out()
+
+    def same_shape(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for r in rows.itertuples():
+            _gather(held, 0, r.pages, json.loads(r.nodes))
+        return rows[["host", "template", "shape"]].head(1).assign(pages=held[0][0], nodes=json.dumps(held[0][1]))
+
+    def aligned(rows: pd.DataFrame) -> pd.DataFrame:
+        n, wrapper = unite({r.shape: (r.pages, json.loads(r.nodes)) for r in rows.itertuples()})
+        return rows[["host", "template"]].head(1).assign(shape=rows["shape"].min(), pages=n, nodes=json.dumps(wrapper))
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [json.dumps(described(n, json.loads(x))) for n, x in zip(batch.column("pages").to_pylist(), batch.column("nodes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("template"), pa.array(made, pa.string())], names=["host", "template", "wrapper"])
+
+    distinct = pages.where("html IS NOT NULL AND html <> ''").select("host", "html").distinct()
+    streams = scratch.keep(distinct.mapInArrow(tidy(parts), columns))
+    streams = scratch.keep(streams.groupBy("host", "template", "shape").applyInPandas(same_shape, columns))
+    most = streams.groupBy("host", "template").count().agg(F.max("count")).first()[0] or 0
+    buckets = 1
+    while buckets * fan_in < most:
+        buckets *= fan_in
+    while most > 1 and buckets:
+        streams = scratch.keep(streams.groupBy("host", "template", F.pmod("shape", F.lit(buckets))).applyInPandas(lambda rows: aligned(rows), columns))
+        buckets //= fan_in
+    return streams.select("host", "template", "pages", "nodes").mapInArrow(tidy(final), "host string, template string, wrapper string")
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per page: page_id, url, text, n_chars, by_wrapper."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = pick(pages, page_id="long", url="string", html="string").withColumn("host", host)
-    wrappers = Scratch(pages.sparkSession, "wrappers").keep(infer_wrappers(rows, sample))
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    found = scratch.keep(infer_wrappers(rows))
+    # of each host what pages are read by: {template: [content, fixed]} without the expressions
+    rule = F.concat(F.lit('"'), "template", F.lit('":{"content":'), F.coalesce(F.get_json_object("wrapper", "$.content"), F.lit("null")), F.lit(',"fixed":'), F.get_json_object("wrapper", "$.fixed"), F.lit("}"))
+    wrappers = scratch.keep(found.groupBy("host").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(rule)), ","), F.lit("}")).alias("wrapper")))
     size = wrappers.agg(F.sum(F.octet_length("wrapper").cast("long") + F.octet_length("host"))).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("by_wrapper", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict | None] = {None: None}
+        known: dict[str | None, dict] = {None: {}}
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -520,9 +618,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROAD
                 for source, wrapper in zip(part.column("html"), part.column("wrapper").to_pylist(), strict=True):
                     if wrapper not in known:
                         if len(known) > 2000:
-                            known = {None: None}
+                            known = {None: {}}
                         known[wrapper] = json.loads(wrapper)
-                    out.append(apply(known[wrapper], source.as_py()))
+                    page = Page(source.as_py() or "")
+                    out.append(read(known[wrapper].get(page.template()), page) if page.kind else ("", False))
                 texts = [t for t, _ in out]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([w for _, w in out], pa.bool_())], schema=types)
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import json
 import re
 import zlib
 
@@ -378,6 +379,22 @@ def test_long_streams_are_aligned_whole():
     assert all(whole(i, j) == blocks(i, j) for i in range(len(streams[0])) for j in range(0, len(streams[1]), 7))
 
 
+def test_each_template_has_its_place(spark):
+    one = "<html><body><div class='text'><p>Story {0} of the host, told at some length.</p></div><div class='more'><p>Read on: {0}</p></div></body></html>"
+    two = "<html><body><div class='text'><p>Menu</p></div><div class='recipe'><p>Recipe {0}: stir it {0} times and let it rest.</p></div></body></html>"
+    rows = [(k, f"http://h.org/{k}", one.format(k)) for k in range(120)] + [(1000 + k, f"http://h.org/r{k}", two.format(k)) for k in range(4)]
+    rows += [(2000 + k, "http://h.org/same", one.format("again")) for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in wrapper_html.extract(df.repartition(7)).collect()}
+    assert len(got) == len(rows) and all(r.by_wrapper for r in got.values())
+    assert all(got[k].text == f"Story {k} of the host, told at some length." for k in range(120))
+    assert all(got[1000 + k].text == f"Recipe {k}: stir it {k} times and let it rest." for k in range(4))
+    hosted = df.withColumn("host", F.lit("h.org"))
+    found = [{r.template: json.loads(r.wrapper) for r in wrapper_html.infer_wrappers(hosted.repartition(n), fan_in).collect()} for n, fan_in in ((1, 16), (5, 16), (5, 2))]
+    assert sorted(w["pages"] for w in found[0].values()) == [4, 121]
+    assert found[0] == found[1] and [w["content"] for _, w in sorted(found[2].items())] == [w["content"] for _, w in sorted(found[0].items())]
+
+
 # --- 8 and 9: native operators
 
 
