@@ -56,11 +56,11 @@ def versions(nodes: DataFrame) -> DataFrame:
     return first.withColumns({"version": F.row_number().over(w), "previous_snapshot_id": F.lag("snapshot_id").over(w)})
 
 
-def chain(snapshots: DataFrame, start, most: int = 100_000) -> DataFrame:
+def chain(snapshots: DataFrame, start) -> DataFrame:
     """The parents of snapshot ``start``: (snapshot_id, depth, parent_missing), in a number of steps that grows with the logarithm of the chain.
 
     Each step doubles every snapshot's pointer, so a chain of 100,000 takes 17 joins. A parent that was
-    deleted ends the chain and is flagged; a cycle ends it where it closes.
+    deleted ends the chain and is flagged; a cycle ends it where it closes. Steps go on until none finds another parent.
     """
     from lodestrata.store import cut
 
@@ -69,7 +69,7 @@ def chain(snapshots: DataFrame, start, most: int = 100_000) -> DataFrame:
     jumps = ids.join(known, "parent_snapshot_id", "left").where("known").select("snapshot_id", F.col("parent_snapshot_id").alias("to"))
     found = ids.where(F.col("snapshot_id") == F.lit(start)).select("snapshot_id", F.lit(0).cast("long").alias("depth"))
     reach = 1
-    while reach <= most:
+    while True:
         step = found.join(jumps, "snapshot_id").select(F.col("to").alias("snapshot_id"), (F.col("depth") + reach).alias("depth"))
         more = found.unionAll(step).groupBy("snapshot_id").agg(F.min("depth").alias("depth"))
         before, found = found, cut(more)

@@ -32,6 +32,15 @@ def test_long_chain_and_missing_parent(spark):
     assert len(got) == 299 and got[299] == (0, False) and got[1] == (298, True)
 
 
+def test_chain_has_no_longest(spark):
+    n = 140_000  # more than 17 doublings reach
+    df = spark.range(1, n + 1).select(F.col("id").alias("snapshot_id"), (F.col("id") - 1).alias("parent_snapshot_id"))
+    got = lineage.chain(df, n).agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.sum(F.col("parent_missing").cast("int")).alias("missing")).first()
+    assert tuple(got) == (n, n - 1, 1)
+    ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "snapshot_id long, parent_snapshot_id long")
+    assert {tuple(r) for r in lineage.chain(ring, 3).collect()} == {(3, 0, False), (2, 1, False), (1, 2, False)}
+
+
 def test_retention_keeps_each_rule(spark):
     df = spark.sql("SELECT id AS snapshot_id, timestamp'2024-12-30 10:00:00' - make_interval(0, 0, 0, CAST(d AS INT), CAST(h AS INT)) AS ts FROM VALUES (1, 35, 0), (2, 9, 0), (3, 2, 0), (4, 2, -1), (5, 0, 2), (6, 0, 1) AS t(id, d, h)")
     kept = {r.snapshot_id for r in retention.retention(df, 1, 1, 1).where("keep").collect()}
