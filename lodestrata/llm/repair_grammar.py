@@ -35,46 +35,58 @@ from .common import Scratch, pick, tidy, tokenized
 
 MAGIC = b"LRP1"
 SHARD_IDS = 1 << 20
-ROUNDS = 6
 LEAST = 8
-TABLE = 1 << 22  # entries of a look-up table of pairs; more are searched
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> bytes:
+def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> bytes:
     """One shard from the ids of its documents. Pairs never reach across two documents.
 
     In each round the pairs are counted and, from the most frequent on, taken together as long as no
     id is the left part of one and the right part of another; so no two occurrences overlap and all of
-    a round's pairs are replaced in one pass. A pair of equal ids is taken alone, if it leads.
+    a round's pairs are replaced in one pass. A pair of equal ids shares its id with no other pair of the round and
+    takes every second place of a run. Rounds go on until no pair has ``least`` occurrences.
+
+    A pair that is rarer than that stays so, as later rounds only take occurrences away; so a round counts
+    only pairs that were frequent in the one before or have one of its symbols.
     """
     seq = ids.astype(np.int64)
     ends = bounds.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     next_symbol = base
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
+    open_ = np.ones(len(seq), bool)  # whether the pair that begins here may be frequent
+    while len(seq) >= 2 * least:
+        last = ends[1:] - 1
+        open_[last[last >= 0]] = False
+        where = np.flatnonzero(open_)
+        if not len(where):
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        last = ends[1:-1] - 1
-        key[last[(last >= 0) & (last < len(key))]] = -1
-        found, counts = _count(key)
+        key, where = _sorted_pairs(seq, where, next_symbol)
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        found, counts = key[first], np.diff(first, append=len(key))
         keep = counts >= least
-        found, counts = found[keep], counts[keep]
-        if not len(found):
+        open_[where[np.repeat(~keep, counts)]] = False
+        if not keep.any():
             break
-        chosen = _disjoint(found, counts)
-        if len(chosen) == 1 and chosen[0] >> 32 == chosen[0] & 0xFFFFFFFF:
-            at = _alternate(np.flatnonzero(key == chosen[0]))
-            symbol = np.zeros(len(at), np.int64)
-        else:
-            chosen = np.sort(chosen)
-            at, symbol = _places(chosen, seq, key, next_symbol)
+        chosen = _disjoint(found[keep], counts[keep])
+        numbers = np.full(len(found), -1, np.int64)
+        numbers[np.searchsorted(found, chosen)] = np.arange(len(chosen))
+        symbol = np.repeat(numbers, counts)
+        hit = np.flatnonzero(symbol >= 0)
+        hit = hit[np.argsort(where[hit])]
+        at, symbol = where[hit], symbol[hit]
+        equal = (chosen >> 32 == chosen & 0xFFFFFFFF)[symbol]
+        if equal.any():
+            stay = ~equal
+            stay[np.flatnonzero(equal)[np.isin(at[equal], _alternate(at[equal]), assume_unique=True)]] = True
+            at, symbol = at[stay], symbol[stay]
         seq[at] = next_symbol + symbol
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
         ends = ends - np.searchsorted(at, ends - 2, "right")
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        seq, open_ = seq[stay], open_[stay]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
         next_symbol += len(chosen)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -87,49 +99,32 @@ def compress(ids: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, least: i
     return b"".join([MAGIC, head.tobytes(), pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), bounds.astype("<u8").tobytes(), seq.astype("<u4").tobytes()])
 
 
-def _count(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort(key)
-    key = key[np.searchsorted(key, 0) :]
-    if not len(key):
-        return key, key
-    last = np.flatnonzero(key[1:] != key[:-1])
-    bounds = np.concatenate([[0], last + 1, [len(key)]])
-    return key[bounds[:-1]], np.diff(bounds)
-
-
-def _places(pairs: np.ndarray, seq: np.ndarray, key: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the sorted ``pairs`` occur, and which of them.
-
-    Left and right ids have small numbers of their own, so a pair's number is read from a table; pairs
-    of very many ids are searched for instead.
-    """
-    left, right = np.zeros(symbols, np.int32), np.zeros(symbols, np.int32)
-    lefts, rights = np.unique(pairs >> 32), np.unique(pairs & 0xFFFFFFFF)
-    left[lefts], right[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
-    at = np.flatnonzero(left.astype(bool)[seq[:-1]] & right.astype(bool)[seq[1:]])
-    if len(lefts) * len(rights) <= TABLE:
-        table = np.full((len(lefts), len(rights)), -1, np.int32)
-        table[left[pairs >> 32] - 1, right[pairs & 0xFFFFFFFF] - 1] = np.arange(len(pairs))
-        place = table[left[seq[at]] - 1, right[seq[at + 1]] - 1]
-        place[key[at] < 0] = -1  # across two documents
-        hit = place >= 0
-    else:
-        place = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        hit = pairs[place] == key[at]
-    return at[hit], place[hit].astype(np.int64)
+def _sorted_pairs(seq: np.ndarray, where: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that begin at ``where``, sorted, and their places: packed in one integer if it has the room, as plain sorts are fast."""
+    wide, deep = symbols.bit_length(), len(seq).bit_length()
+    if 2 * wide + deep > 63:
+        key = (seq[where] << 32) | seq[where + 1]
+        order = np.argsort(key)
+        return key[order], where[order]
+    both = (((seq[where] << wide) | seq[where + 1]) << deep) | where
+    both.sort()
+    where = both & ((1 << deep) - 1)
+    both >>= deep
+    return ((both >> wide) << 32) | (both & ((1 << wide) - 1)), where
 
 
 def _disjoint(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Pairs by falling count (ties: smaller pair first) whose left and right ids stay apart."""
     order = np.lexsort((found, -counts))
-    lead = int(found[order[0]])
-    if lead >> 32 == lead & 0xFFFFFFFF:
-        return np.array([lead], np.int64)
-    side: dict[int, int] = {}
+    side: dict[int, int] = {}  # 0 left, 1 right, 2 both
     out = []
     for pair in found[order].tolist():
         left, right = pair >> 32, pair & 0xFFFFFFFF
-        if left != right and side.get(left, 0) == 0 and side.get(right, 1) == 1:
+        if left == right:
+            if left not in side:
+                side[left] = 2
+                out.append(pair)
+        elif side.get(left, 0) == 0 and side.get(right, 1) == 1:
             side[left], side[right] = 0, 1
             out.append(pair)
     return np.array(out, np.int64)
@@ -172,18 +167,18 @@ class Shard:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids below ``symbols``: each pass opens every nonterminal once."""
-        seq = symbols.astype(np.int64)
-        while True:
-            big = seq >= self.base
-            if not len(self.rules) or not big.any():
-                return seq.astype(np.uint32)
-            start = np.cumsum(1 + big) - (1 + big)
-            out = np.empty(len(seq) + int(big.sum()), np.int64)
-            out[start[~big]] = seq[~big]
-            pair = self.rules[seq[big] - self.base]
-            out[start[big]], out[start[big] + 1] = pair[:, 0], pair[:, 1]
-            seq = out
+        """All ids below ``symbols``: each pass opens the nonterminals that are left and puts their parts in place."""
+        todo = symbols.astype(np.int64)
+        sizes = self._size(todo)
+        place = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        while len(todo):
+            big = todo >= self.base
+            out[place[~big]] = todo[~big]
+            pair, place = self.rules[todo[big] - self.base], place[big]
+            todo = pair.ravel()
+            place = np.stack([place, place + self._size(pair[:, 0])], 1).ravel()
+        return out
 
     def document(self, n: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_bounds[n] : self.symbol_bounds[n + 1]])

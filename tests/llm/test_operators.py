@@ -76,6 +76,23 @@ def test_grammar_saves_space():
     assert len(repair_grammar.compress(ids, np.array([0, len(ids)]))) < len(ids)
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    run, words = np.full(1 << 14, 3, np.uint32), np.tile(rng.integers(10, 400, 300).astype(np.uint32), 40)
+    for parts in ([run], [run, words], [words, rng.integers(0, 30, 20_000).astype(np.uint32), run]):
+        ids = np.concatenate(parts)
+        bounds = np.array([0, 9, len(ids) // 2, len(ids)])
+        s = repair_grammar.Shard(repair_grammar.compress(ids, bounds))
+        assert s.expand(s.symbols).tolist() == ids.tolist()
+        pairs = collections.Counter()
+        for k in range(3):
+            part = s.symbols[s.symbol_bounds[k] : s.symbol_bounds[k + 1]].tolist()
+            assert s.document(k).tolist() == ids[bounds[k] : bounds[k + 1]].tolist()
+            pairs.update(itertools.pairwise(part))
+        assert max(pairs.values(), default=0) < repair_grammar.LEAST
+        assert len(s.rules) == len({tuple(r) for r in s.rules.tolist()}) and int(s.lengths.max()) > 64
+
+
 @pytest.mark.parametrize("shard_ids", [1 << 20, 7])
 def test_op1(spark, docs, shard_ids):
     shards, rows = repair_grammar.grammar_tokens(docs, TOKENIZER, 2, shard_ids)
