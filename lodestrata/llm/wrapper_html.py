@@ -4,13 +4,21 @@ Pages of one host come from a few templates: pages whose containers outside asid
 signatures in the same order. Every distinct page of a template takes part. Pages of equal shape are merged
 node by node first; the stream of one shape is the first wrapper of the template; each further one is aligned with it and mismatches are resolved without unions: texts that differ become
 slots, a run of equal pieces becomes a repeated group, and what only one side has becomes an
-optional group. From the wrapper the element with the varying text is taken as the content; a page's
-text is what stands there, without parts that are named as something else and, where the element is no
-article or main, without blocks that are the same on all pages.
+optional group. A page's text is what its template's wrapper says it is:
 
-Cases: null and empty pages have empty text; a page without the wrapper's content element falls back to
-the best element of its own stream; a null url is a host of its own; pages that repeat are kept; a template
-with one page has that page's stream as wrapper; an empty table gives an empty table; other columns
+* The content is the element with the text that differs between pages, outside links.
+* In it, containers that are the same on all pages, and containers whose whole text is repeated links, are left out.
+* Elements that HTML itself sets apart (``ASIDE_TAGS``, hidden ones) are left out. ``header`` is where the content is the whole body.
+* A name such as ``comments`` is a hint, not a verdict: every word of it has to be a known one, and the wrapper has to agree
+  (the element has less than half of the text that differs, or is a repeated group of several slots). Without any
+  names (``ASIDE_NAMES`` empty) all else works as it does.
+
+Raw text of script, style and textarea goes (to the end of the page where it isn't closed), and what stands in
+noscript, template, svg, iframe, select and canvas where these are closed. Text in math and object stays.
+
+Cases: null and empty pages have empty text; a page without the wrapper's content element is read by the wrapper of
+its own stream alone; a null url is a host of its own; pages that repeat are kept; a template
+with one page has that page's stream as wrapper, and there all text counts as differing; an empty table gives an empty table; other columns
 are ignored. Ties between elements go to the one that comes first.
 """
 
@@ -18,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import itertools
 import json
 import operator
 import re
@@ -34,6 +41,8 @@ from .common import Scratch, pick, tidy
 
 #: Streams or wrappers that one task aligns in a round, on average at most.
 FAN_IN = 16
+#: Distinct pages of a template from which text that is the same on all of them is left out.
+LEAST_PAGES = 3
 #: Nodes that a task holds while it merges pages of equal shape; then it writes them out as one part.
 HELD_NODES = 200_000
 #: Wrappers up to this many bytes in all go to every task; more are joined by host.
@@ -41,21 +50,29 @@ BROADCAST_BYTES = 16 << 20
 #: Steps of an alignment held at once, in bytes; those of longer streams are worked out in blocks of rows.
 STEP_BYTES = 64 << 20
 
+# Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math"
+RAW = "script|style|textarea"
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption title head".split())
-ASIDE_TAGS = set("nav aside footer form button head title dialog menu".split())
+#: Elements that HTML sets apart from the content.
+ASIDE_TAGS = set("nav aside footer form button head title dialog menu noscript template svg iframe select canvas".split())
+#: Hints: a class, id or role whose words are all among these or ``PLAIN_WORDS``, one of these at least.
 ASIDE_NAMES = set("nav navbar navigation menu sidebar ad ads advert adverts advertisement sponsored banner cookie cookies consent notice notices alert comment comments commentlist respond disqus footer breadcrumb breadcrumbs share sharing social related promo newsletter subscribe popup modal toolbar masthead pagination pager complementary contentinfo widget".split())
+PLAIN_WORDS = set("site page main global top bottom left right upper lower primary secondary sub list item items box block bar area section container wrapper wrap inner outer row group slot unit panel button buttons link links post posts article articles story stories form thread reply replies signup icons icon media user users reader readers".split())
+HINTED = BLOCKS - set("html body head article main h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = set("div section article main body td center table".split())
+#: Containers that can be left out of the content as a whole.
+PARTS = set("div section table center ul ol dl header".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
-DIGITS = re.compile(r"\d+")
+DIGITS = re.compile(r"\d{2,}")  # a single digit names a part, more of them a page
 
 
 class Page:
-    """Tokens of one page: (name, signature, aside) for tags, text for the rest; and where each element ends."""
+    """Tokens of one page: (name, signature, set apart) for tags, text for the rest; and where each element ends."""
 
     def __init__(self, source: str):
         self.kind: list[int] = []  # 0 text, 1 open, 2 close
@@ -88,8 +105,9 @@ class Page:
         self.kind.append(kind)
         self.value.append(value)
 
-    def text(self, low: int, high: int, fixed: dict[str, list[str]] | None = None) -> str:
-        """Blocks between two tokens, one a line, without aside elements and those that equal a fixed block (signature: digests)."""
+    def text(self, low: int, high: int, rule: dict) -> str:
+        """Blocks between two tokens, one a line, without what is set apart and what the wrapper's rule leaves out."""
+        beside, fixed, whole = set(rule["beside"]), rule["fixed"], not rule["content"] or rule["content"][0].split(".")[0] in ("body", "html")
         blocks, part, k = [], [], low
         while k < high:
             kind, value = self.kind[k], self.value[k]
@@ -97,9 +115,11 @@ class Page:
                 part.append(value)
             else:
                 name = value if kind == 2 else value[0]
-                if kind == 1 and k in self.end and (value[2] or (fixed and value[1] in fixed and self.digest(k) in fixed[value[1]])):
-                    blocks.append("".join(part))
-                    part, k = [], self.end[k] + 1
+                if kind == 1 and k in self.end and (value[2] == APART or value[1] in beside or (whole and name == "header") or (value[1] in fixed and self.digest(k) in fixed[value[1]])):
+                    if name in BLOCKS:
+                        blocks.append("".join(part))
+                        part = []
+                    k = self.end[k] + 1
                     continue
                 if name in BLOCKS:
                     blocks.append("".join(part))
@@ -139,25 +159,32 @@ class Page:
         return None
 
 
-_SEEN: dict[tuple[str, str], tuple[str, bool]] = {}
+APART, HINT = 1, 2
+_SEEN: dict[tuple[str, str], tuple[str, int]] = {}
 
 
-def _named(name: str, attributes: str) -> tuple[str, bool]:
-    """Signature (name and class, digits masked) and whether the element is something beside the content."""
+def _named(name: str, attributes: str) -> tuple[str, int]:
+    """Signature (name and class, digits masked), and whether HTML sets the element apart or its name hints at that."""
     if not attributes or name == "a":
-        return name, name in ASIDE_TAGS
+        return name, APART if name in ASIDE_TAGS else 0
     key = (name, attributes)
     if key not in _SEEN:
         if len(_SEEN) > 50_000:
             _SEEN.clear()
         found = {m.group(1).lower(): entities.unescape(m.group(2) or m.group(3) or m.group(4) or "") for m in NAMED.finditer(attributes)}
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(found.values())).lower()))
-        beside = name in ASIDE_TAGS or (name not in ("html", "body", "article", "main") and bool(words & ASIDE_NAMES)) or bool(HIDDEN.search(attributes))
         kind = found.get("class") or found.get("id") or ""
-        _SEEN[key] = (DIGITS.sub("#", name + ("." + ".".join(sorted(kind.split())) if kind else "")), beside)
+        apart = name in ASIDE_TAGS or bool(HIDDEN.search(attributes))
+        hint = name in HINTED and any(hints(x) for v in found.values() for x in v.split())
+        _SEEN[key] = (DIGITS.sub("#", name + ("." + ".".join(sorted(kind.split())) if kind else "")), APART if apart else HINT if hint else 0)
     return _SEEN[key]
 
 
+def hints(name: str) -> bool:
+    """Whether all words of a class, id or role are known ones, and one at least names something beside the content."""
+    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+    return bool(words & ASIDE_NAMES) and words <= ASIDE_NAMES | PLAIN_WORDS
+
+
 def _digest(texts: list[str]) -> str:
     return hashlib.md5("\0".join(sorted(texts)).encode("utf-8", "replace")).hexdigest()
 
@@ -174,7 +201,7 @@ def stream(page: Page) -> list:
             if text:
                 out.append(["text", text, len(text)])
         else:
-            out.append(["tag", value[1] if kind == 1 else "/" + value, bool(kind == 1 and value[2])])
+            out.append(["tag", value[1] if kind == 1 else "/" + value, value[2] if kind == 1 else 0])
     return out
 
 
@@ -417,8 +444,10 @@ def unite(streams: dict[int, tuple[int, list]]) -> tuple[int, list]:
 
 
 def described(pages: int, wrapper: list) -> dict:
-    content = locate(wrapper)
-    return {"expression": written(wrapper), "content": content, "fixed": fixed_blocks(wrapper, content), "pages": pages}
+    """The wrapper's expression and the rule that pages are read by."""
+    view = View(wrapper)
+    content = view.locate()
+    return {"expression": written(wrapper), "content": content, "fixed": view.fixed_blocks(pages), "beside": view.beside(), "pages": pages}
 
 
 def written(nodes: list) -> str:
@@ -436,18 +465,23 @@ def written(nodes: list) -> str:
     return "".join(out)
 
 
-def flat(nodes: list, optional: bool = False) -> tuple[list, list[bool]]:
-    """Nodes without their groups, and whether each is text that differs between pages or isn't on all of them."""
-    out, varies = [], []
+def flat(nodes: list, optional: bool = False, group: int = 0, groups: list | None = None) -> tuple[list, list[bool], list[int]]:
+    """Nodes without their groups, whether each is text that differs between pages or isn't on all of them, and the outermost repeated group of each (0: none)."""
+    groups = groups if groups is not None else [0]
+    out, varies, within = [], [], []
     for n in nodes:
         if n[0] in ("opt", "rep"):
-            inner, differs = flat(n[1], optional or n[0] == "opt")
-            out += inner
-            varies += differs
+            own = group
+            if n[0] == "rep" and not group:
+                groups[0] += 1
+                own = groups[0]
+            for all_, some in zip((out, varies, within), flat(n[1], optional or n[0] == "opt", own, groups), strict=True):
+                all_ += some
         else:
             out.append(n)
             varies.append(n[0] != "tag" and (optional or (n[0] == "slot" and n[2] is None)))
-    return out, varies
+            within.append(group)
+    return out, varies, within
 
 
 def closings(nodes: list) -> dict[int, int]:
@@ -463,62 +497,105 @@ def closings(nodes: list) -> dict[int, int]:
     return ends
 
 
-def fixed_blocks(wrapper: list, content: list | None) -> dict[str, list[str]]:
-    """Blocks whose text is the same on all pages: signature and digests. None if no text differs, or in an article or main."""
-    nodes, varies = flat(wrapper)
-    out: dict[str, list[str]] = {}
-    if not any(varies) or not content or content[0].split(".")[0] in ("article", "main"):
+class View:
+    """What a wrapper says about its elements."""
+
+    def __init__(self, wrapper: list):
+        self.nodes, varies, self.group = flat(wrapper)
+        nodes, n = self.nodes, len(self.nodes)
+        self.varied = any(varies)
+        self.ends = closings(nodes)
+        self.name = [x[1].lstrip("/").split(".")[0] if x[0] == "tag" else "" for x in nodes]
+        # running sums up to each node: text, text in links, text that differs and its slots in repeated groups
+        own, linked, varying, records = np.zeros((4, n + 1), np.int64)
+        apart_until = link_until = -1
+        for k, x in enumerate(nodes):
+            if x[0] == "tag":
+                if k in self.ends and x[2] == APART:
+                    apart_until = max(apart_until, self.ends[k])
+                if k in self.ends and self.name[k] == "a":
+                    link_until = max(link_until, self.ends[k])
+            elif k > apart_until:
+                size = chars(x)
+                own[k + 1] = size
+                linked[k + 1] = size * (k <= link_until)
+                varying[k + 1] = size * (k > link_until and (varies[k] or not self.varied))
+                records[k + 1] = self.group[k] > 0
+        self.own, self.linked, self.varying, self.records = (np.cumsum(x) for x in (own, linked, varying, records))
+        self.varies = np.cumsum([0, *varies])
+        self.excluded = self._agreed()
+
+    def _in(self, sums: np.ndarray, k: int, end: int | None = None) -> int:
+        return int(sums[self.ends.get(k, len(self.nodes)) if end is None else end] - sums[k])
+
+    def _opens(self) -> Iterator[int]:
+        return (k for k, x in enumerate(self.nodes) if x[0] == "tag" and x[1][0] != "/")
+
+    def _agreed(self) -> list[int]:
+        """Hinted elements that the wrapper agrees on: with less than half of the differing text, or a repeated group of several slots."""
+        out, done, total = [], -1, int(self.varying[-1])
+        for k in self._opens():
+            if k > done and self.nodes[k][2] == HINT and k in self.ends:
+                if 2 * self._in(self.varying, k) < total or (self._in(self.records, k) > 1 and self._in(self.varying, k) < total):
+                    out.append(k)
+                    done = self.ends[k]
         return out
-    ends, done = closings(nodes), -1
-    before = [0, *itertools.accumulate(varies)]
-    for k, n in enumerate(nodes):
-        if k > done and k in ends and n[1].split(".")[0] in HOLDERS and before[k] == before[ends[k]]:
-            texts = [t for x in nodes[k : ends[k]] if x[0] != "tag" for t in (x[1] if x[0] == "text" else x[2]).split("\0")]
-            done = ends[k]
-            if texts:
-                out.setdefault(n[1], []).append(_digest(texts))
-    return out
 
+    def locate(self) -> list | None:
+        """[signature, number] of the element with the content.
+
+        Weighed is the text of each element that differs between pages or isn't on all of them (all text where
+        none differs, as on a host with one page), outside links and what is set apart; an article
+        or main element with most of its page's text wins, else the innermost element with at least 0.6 of all
+        such text. An element in a repeated group gives way to the one that holds the group.
+        """
+        weigh = self.varying.copy()
+        for k in self.excluded:
+            weigh[k:] -= np.minimum(weigh[k:], weigh[self.ends[k]]) - weigh[k]
+        running = int(weigh[-1])
+        if not running:
+            return None
+        found, counted, hidden = [], {}, [(k, self.ends[k]) for k in self.excluded]
+        for k in self._opens():
+            signature = self.nodes[k][1]
+            nth = counted.get(signature, 0)
+            counted[signature] = nth + 1
+            if self.name[k] in HOLDERS and not self.group[k] and (k in self.ends or self.name[k] in ("article", "main", "body")) and not any(a <= k <= b for a, b in hidden):
+                found.append((self._in(weigh, k), k, signature, nth))
+        named = [x for x in found if self.name[x[1]] in ("article", "main") and x[0] > 0.3 * running]
+        articles = [x for x in named if self.name[x[1]] == "article"] or named
+        big = [x for x in found if x[0] >= 0.6 * running]
+        best = max(articles, key=lambda x: (x[0], -x[1])) if articles else big[-1] if big else None
+        return best and [best[2], best[3]]
+
+    def fixed_blocks(self, pages: int) -> dict[str, list[str]]:
+        """Containers whose text is the same on all pages: signature and digests. None if no text differs or the pages are few; headings alone stay."""
+        out: dict[str, list[str]] = {}
+        if not self.varied or pages < LEAST_PAGES:
+            return out
+        done = -1
+        for k in self._opens():
+            if k > done and k in self.ends and self.name[k] in PARTS and not self._in(self.varies, k):
+                done, texts, under, last = self.ends[k], [], set(), k
+                for x in range(k, done):
+                    if self.nodes[x][0] == "tag":
+                        last = x
+                    else:
+                        texts += (self.nodes[x][1] if self.nodes[x][0] == "text" else self.nodes[x][2]).split("\0")
+                        under.add(self.name[last])
+                if texts and not under <= HEADINGS:
+                    out.setdefault(self.nodes[k][1], []).append(_digest(texts))
+        return out
 
-def locate(wrapper: list) -> list | None:
-    """[signature, number] of the element with the content.
-
-    Weighed is the text of each element that differs between pages or isn't on all of them (all text where
-    none differs, as on a host with one page), outside links and elements that are something else; an article
-    or main element with most of its page's text wins, else the innermost element with at least 0.6 of all
-    such text.
-    """
-    nodes, varies = flat(wrapper)
-    same = not any(varies)
-    ends = closings(nodes)
-    weight, k = [0] * (len(nodes) + 1), 0
-    running, link_until, beside_until = 0, -1, -1
-    for k, n in enumerate(nodes):
-        weight[k] = running
-        if n[0] == "tag":
-            if n[2] and k in ends:
-                beside_until = max(beside_until, ends[k])
-            if n[1].split(".")[0] == "a" and k in ends:
-                link_until = max(link_until, ends[k])
-        elif (same or varies[k]) and k > beside_until and k > link_until:
-            running += chars(n)
-    weight[len(nodes)] = running
-    if not running:
-        return None
-    found, counted = [], {}
-    for k, n in enumerate(nodes):
-        if n[0] == "tag" and n[1][0] != "/":
-            nth = counted.get(n[1], 0)
-            counted[n[1]] = nth + 1
-            if n[1].split(".")[0] in HOLDERS and (k in ends or n[1].split(".")[0] in ("article", "main", "body")):
-                found.append((weight[ends.get(k, len(nodes))] - weight[k], k, n[1], nth))
-    named = [x for x in found if x[2].split(".")[0] in ("article", "main") and x[0] > 0.3 * running]
-    if named:
-        articles = [x for x in named if x[2].split(".")[0] == "article"] or named
-        top = max(x[0] for x in articles)
-        return next([x[2], x[3]] for x in articles if x[0] == top)
-    big = [x for x in found if x[0] >= 0.6 * running]
-    return [big[-1][2], big[-1][3]] if big else None
+    def beside(self) -> list[str]:
+        """Signatures of containers that are left out wherever they stand: agreed hints, and repeated links with no other text."""
+        kinds: dict[str, list[bool]] = {}
+        agreed = set(self.excluded)
+        for k in self._opens():
+            links = k in self.ends and self.name[k] in PARTS and self._in(self.records, k) > 0 and self._in(self.own, k) == self._in(self.linked, k) > 0
+            if self.name[k] in PARTS or self.nodes[k][2] == HINT:
+                kinds.setdefault(self.nodes[k][1], []).append(k in agreed or links)
+        return sorted(signature for signature, all_ in kinds.items() if all(all_) and ("." in signature or signature in ("ul", "ol")))
 
 
 def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
@@ -529,10 +606,10 @@ def apply(wrapper: dict | None, source: str | None) -> tuple[str, bool]:
 def read(wrapper: dict | None, page: Page) -> tuple[str, bool]:
     place = wrapper and wrapper["content"] and page.find(*wrapper["content"])
     if place:
-        return page.text(*place, wrapper["fixed"]), True
-    own = locate(fold(stream(page)))
-    place = own and page.find(*own)
-    return page.text(*(place or (0, len(page.kind)))), False
+        return page.text(*place, wrapper), True
+    own = described(*unite({0: (1, fold(stream(page)))}))
+    place = own["content"] and page.find(*own["content"])
+    return page.text(*(place or (0, len(page.kind))), own), False
 
 
 def infer_wrappers(pages: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
@@ -602,8 +679,9 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     rows = pick(pages, page_id="long", url="string", html="string").withColumn("host", host)
     scratch = Scratch(pages.sparkSession, "wrappers")
     found = scratch.keep(infer_wrappers(rows))
-    # of each host what pages are read by: {template: [content, fixed]} without the expressions
-    rule = F.concat(F.lit('"'), "template", F.lit('":{"content":'), F.coalesce(F.get_json_object("wrapper", "$.content"), F.lit("null")), F.lit(',"fixed":'), F.get_json_object("wrapper", "$.fixed"), F.lit("}"))
+    # of each host what pages are read by: {template: rule} without the expressions
+    parts = [x for c in ("content", "fixed", "beside") for x in (F.lit(f',"{c}":'), F.coalesce(F.get_json_object("wrapper", f"$.{c}"), F.lit("null")))]
+    rule = F.concat(F.lit('"'), "template", F.lit('":{"by":1'), *parts, F.lit("}"))
     wrappers = scratch.keep(found.groupBy("host").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(rule)), ","), F.lit("}")).alias("wrapper")))
     size = wrappers.agg(F.sum(F.octet_length("wrapper").cast("long") + F.octet_length("host"))).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")

@@ -7,6 +7,7 @@ import itertools
 import json
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from tokenizers import Tokenizer
 
 from lodestrata.llm import common, lang_cnn, line_dedup, mpeg_audio, phrase_index, rendezvous, repair_grammar, setsketch, subword_quality, vector_packing, wrapper_html
 
+from .. import oracle
+
 TOKENIZER = common.default_tokenizer()
 LIBRARY = Tokenizer.from_file(TOKENIZER)
 LONG = "word the of, and! " * 4000 + "Ärger " * 50
@@ -412,6 +415,100 @@ def test_each_template_has_its_place(spark):
     assert found[0] == found[1] and [w["content"] for _, w in sorted(found[2].items())] == [w["content"] for _, w in sorted(found[0].items())]
 
 
+class Article(HTMLParser):
+    """Brute force for the driver's pages, which have one article each: its blocks."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.on, self.part, self.blocks = False, [], []
+        self.feed(source)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = re.sub(r"\s+", " ", "".join(self.part)).strip()
+        self.blocks += [text] * bool(text)
+        self.part = []
+
+    def handle_starttag(self, tag, attrs):
+        self.on = self.on or tag == "article"
+        if tag in ("p", "h1"):
+            self.end()
+        elif tag == "br":
+            self.part.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.end()
+        self.on = self.on and tag != "article"
+
+    def handle_data(self, data):
+        if self.on:
+            self.part.append(data)
+
+
+def nameless(source):
+    for tag, name in (("nav", "x1"), ("article", "x2"), ("footer", "x3")):
+        source = source.replace(f"<{tag}>", f'<div class="{name}">').replace(f"</{tag}>", "</div>")
+    return source.replace('class="ad"', 'class="x4"')
+
+
+def test_op6_equals_brute_force_on_the_table(spark, monkeypatch):
+    """The whole ``pages`` table: as it is, without the list of names, and with meaningless tags and names."""
+    pages = spark.read.parquet(f"{oracle.SF}/pages.parquet")
+    rows = pages.collect()
+    expected = {r.page_id: "\n".join(Article(r.html or "").blocks) for r in rows}
+    assert {r.page_id: r.text for r in wrapper_html.extract(pages).collect()} == expected
+    monkeypatch.setattr(wrapper_html, "ASIDE_NAMES", set())
+    monkeypatch.setattr(wrapper_html, "_SEEN", {})
+    hosts = collections.defaultdict(list)
+    for r in rows:
+        hosts[re.match("[a-z]+://([^/]+)", r.url).group(1)].append(r)
+    for own in hosts.values():
+        for change in (str, nameless):
+            if change is nameless and len(own) < 3:  # too few pages to tell what differs
+                continue
+            by = collections.defaultdict(list)
+            for r in own:
+                by[wrapper_html.Page(change(r.html)).template()].append(r)
+            for some in by.values():
+                w = wrapper_html.infer([change(r.html) for r in some])
+                assert all(wrapper_html.apply(w, change(r.html)) == (expected[r.page_id], True) for r in some)
+
+
+def test_names_are_hints():
+    body = "<h1>On {0}</h1><p>First words of {0}.</p><section id='related-work'><h2>Related work</h2><p>Others on {0}.</p></section><p class='alert-level'>Level {0}</p><div class='social-history'><p>History of {0}.</p></div>"
+    odd = "<div class='notice'>Cookies and {0}</div><ol class='comment-list'><li><b>Ann</b><p>I like {0}</p></li><li><b>Bob</b><p>{0} again</p></li></ol><ul class='k9'><li><a href='1'>a {0}</a></li><li><a href='2'>b {0}</a></li></ul>"
+    pages = ["<html><body><div class='x1'>Menu</div><article>" + (body + odd).format(x) + "</article><div class='x3'>(c) us</div></body></html>" for x in ("ants", "bees", "cats", "dogs")]
+    w = wrapper_html.infer(pages[:3])
+    assert wrapper_html.apply(w, pages[3])[0] == "On dogs\nFirst words of dogs.\nRelated work\nOthers on dogs.\nLevel dogs\nHistory of dogs."
+    whole = "<html><body><div class='comments'><p>All of the text about {0} is in here.</p></div></body></html>"
+    w = wrapper_html.infer([whole.format(x) for x in ("ants", "bees", "cats")])  # a name can't do away with the content
+    assert wrapper_html.apply(w, whole.format("dogs"))[0] == "All of the text about dogs is in here."
+
+
+def test_wrapper_without_names_or_tags():
+    one = "<html><body><div class='x1'><a href='/'>Home</a> Our menu</div><div class='x2'><h2>{0}</h2>{1}</div><div class='x3'>Copyright, all rights reserved, terms of use.</div></body></html>"
+    pages = [one.format(k, "".join(f"<p>Part {n} of {k}.</p>" for n in range(1 + k % 3))) for k in range(6)]
+    w = wrapper_html.infer(pages)
+    assert w["content"] == ["div.x2", 0] and wrapper_html.apply(w, pages[5])[0] == "5\nPart 0 of 5.\nPart 1 of 5.\nPart 2 of 5."
+
+
+def test_repeated_articles_stay_together():
+    item = "<article><h2>{0}</h2><p>News of {0} and {1}.</p></article>"
+    pages = ["<html><body><div class='all'>" + item.format(k, 1) + item.format(k, 2) + "</div></body></html>" for k in "abcd"]
+    w = wrapper_html.infer(pages)
+    assert wrapper_html.apply(w, pages[0])[0] == "a\nNews of a and 1.\na\nNews of a and 2."
+
+
+def test_raw_elements():
+    w = lambda x: wrapper_html.apply(None, f"<html><body><p>One two three.</p>{x}<p>Four five six.</p></body></html>")[0]
+    assert w("<p><math><mi>x</mi></math> <object>fallback</object></p>") == "One two three.\nx fallback\nFour five six."
+    assert w("<svg><title>icon</title></svg><select><option>o</select><noscript>n</noscript>") == "One two three.\nFour five six."
+    assert w("<svg><canvas><math>") == "One two three.\nFour five six."
+    assert w("<script>") == "One two three."
+
+
 # --- 8 and 9: native operators
 
 
