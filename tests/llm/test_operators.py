@@ -180,12 +180,48 @@ def test_op3_learns_and_covers_cases(spark, docs):
     assert subword_quality.score_documents(docs.limit(0), none).count() == 0
 
 
+def quality_model(texts, labels):
+    return subword_quality.train(list(subword_quality.bags(pa.array(texts))), labels)
+
+
 def test_scores_do_not_depend_on_turns():
-    m = subword_quality.train(["a b c", "d e f"] * 20, [0, 1] * 20)
+    m = quality_model(["a b c", "d e f"] * 20, [0, 1] * 20)
     col = pa.array(["a b c" * 50, None, "", "f e", "q " * 400])
     assert np.allclose(m.score(col), m.score(col, limit=10))
 
 
+def test_scores_equal_a_loop():
+    """The forward pass, and the parts that training sees, one word at a time."""
+    texts = ["Good words and more words", None, "", "one", "ab ab ab\nab\tcd", "é ü! x" * 9]
+    m = quality_model([t or "" for t in texts], [1, 0, 1, 0, 1, 0])
+    parts, count, hashes = subword_quality.word_parts(words := sorted({w for t in texts for w in (t or "").split()}))
+    ends = np.cumsum(count)
+    of = {w: parts[e - n : e] for w, e, n in zip(words, ends, count, strict=True)}
+    name = dict(zip(words, hashes, strict=True))
+    assert all(len(of[w]) == 1 + sum(max(0, len(w) + 3 - n) for n in (2, 3, 4)) for w in words)
+    for t, bag, p in zip(texts, subword_quality.bags(pa.array(texts)), m.score(pa.array(texts)), strict=True):
+        w = (t or "").split()
+        mine = collections.Counter(int(x) for v in w for x in of[v])
+        with np.errstate(over="ignore"):
+            two = collections.Counter([int(common.mix64((name[a] * np.uint64(0x9E3779B97F4A7C15) + name[b]).reshape(1))[0] % np.uint64(subword_quality.BUCKETS)) for a, b in itertools.pairwise(w)] + [subword_quality.END])
+        mean = np.zeros(2 * subword_quality.DIMENSION)
+        for s, counted in enumerate((mine, two)):
+            for k, n in counted.items():
+                mean[s * subword_quality.DIMENSION :][: subword_quality.DIMENSION] += m.vectors[s][k] * n / sum(counted.values())
+            assert dict(zip(bag[2 * s].tolist(), bag[2 * s + 1].tolist(), strict=True)) == pytest.approx({k: n / sum(counted.values()) for k, n in counted.items()})
+        x = (np.concatenate([mean, mean**2]) - m.middle) / m.spread
+        z = np.exp(np.clip(x, -subword_quality.FURTHEST, subword_quality.FURTHEST) @ m.out + m.bias)
+        assert np.allclose(p, z / z.sum(), atol=1e-4)
+
+
+def test_op3_bounds_and_contradictions(spark):
+    rows = [(k, f"w{k} " * (1 + k % 5), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows + [(1, "again", 0), (1, "again", 0)], "doc_id long, text string, quality int")
+    for most, parts in ((5000, 10**6), (10, 10**6), (5000, 50)):
+        m = subword_quality.fit(df.drop("quality"), df.drop("text"), most=most, most_parts=parts)
+        assert m.classes == [0, 1] and subword_quality.score_documents(df, m).count() == len(rows) + 2
+
+
 def test_op7_learns_and_covers_cases(spark, docs):
     rng = np.random.default_rng(3)
     vocabulary = {"aa": ["kolo", "mura", "tala"], "bb": ["strenght", "xylz", "quorp"], "cc": ["ééà", "çuîs", "ôûê"]}
