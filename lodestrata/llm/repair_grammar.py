@@ -6,18 +6,24 @@ any run of ids, is decoded without the rest of its shard.
 
 Shard format, little-endian:
 
-====================  =====================================================================
-``b"LRP1"``           magic
-4 x uint32            first nonterminal, rules, symbols, documents
-uint32[rules, 2]      left and right part of each rule; a part is below its own nonterminal
-uint32[rules]         expansion length of each rule, in ids
-uint32[documents+1]   bounds of each document among the symbols
-uint64[documents+1]   bounds of each document among the ids
-uint32[symbols]       the symbols
-====================  =====================================================================
+===========================  ==============================================================
+``b"LRP2"``                  magic
+6 x uint32                   first nonterminal, rules, symbols, documents, bits of a symbol, bits of a length
+uint64                       ids
+symbol[rules, 2]             left and right part of each rule; a part is below its own nonterminal
+length[rules]                expansion length of each rule, in ids
+count[documents+1]           bounds of each document among the symbols
+place[documents+1]           bounds of each document among the ids
+symbol[symbols]              the symbols
+===========================  ==============================================================
+
+The five arrays hold numbers of as many bits as their largest needs (lowest bit first, each array begins on a full byte):
+those named symbol or length of the bits in the head, count of the bits of the number of symbols, place of that of ids.
+
+Rows of equal doc_id are put in order by their text's length and hash.
 
 Cases: null text is empty; an empty document holds only its end id; rows that repeat a doc_id are
-documents of their own, in any order among themselves; null doc_ids come first; an empty table
+documents of their own, ordered by length and hash of the text; null doc_ids come first; an empty table
 gives an empty table; columns other than doc_id and text are ignored.
 """
 
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, pick, tidy, tokenized
 
-MAGIC = b"LRP1"
+MAGIC = b"LRP2"
 SHARD_IDS = 1 << 20
 LEAST = 8
 
@@ -95,8 +101,49 @@ def compress(ids: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> bytes:
         size = [np.where(part[:, side] < base, 1, lengths[np.maximum(part[:, side] - base, 0)]) for side in (0, 1)]
         lengths[done : done + len(part)] = size[0] + size[1]
         done += len(part)
-    head = np.array([base, len(pairs), len(seq), len(bounds) - 1], "<u4")
-    return b"".join([MAGIC, head.tobytes(), pairs.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), bounds.astype("<u8").tobytes(), seq.astype("<u4").tobytes()])
+    wide = max(1, int(next_symbol - 1).bit_length())
+    long = max(1, int(lengths.max(initial=1)).bit_length())
+    head = np.array([base, len(pairs), len(seq), len(bounds) - 1, wide, long], "<u4")
+    arrays = [(pairs.ravel(), wide), (lengths, long), (ends, len(seq).bit_length()), (bounds, int(bounds[-1]).bit_length()), (seq, wide)]
+    return b"".join([MAGIC, head.tobytes(), np.array([bounds[-1]], "<u8").tobytes(), *(pack_bits(x, n) for x, n in arrays)])
+
+
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits each, one after another, lowest bit first. Eight of them fill whole bytes: one column of bits at a time."""
+    n = -(-len(values) // 8)
+    if not n or not bits:
+        return b""
+    rows = np.zeros(8 * n, np.uint64)
+    rows[: len(values)] = values
+    rows = rows.reshape(n, 8)
+    out = np.zeros((n, bits + 8), np.uint8)  # eight numbers in ``bits`` bytes; the rest stays empty
+    for k in range(8):
+        at, shift = divmod(k * bits, 8)
+        part = rows[:, k] << np.uint64(shift)
+        for b in range(-(-(bits + shift) // 8)):
+            out[:, at + b] |= (part >> np.uint64(8 * b)).astype(np.uint8)
+    return out[:, :bits].tobytes()
+
+
+def packed_size(count: int, bits: int) -> int:
+    return -(-count // 8) * bits
+
+
+def unpack_bits(data: np.ndarray, low: int, high: int, bits: int) -> np.ndarray:
+    """Numbers ``low`` to ``high`` of an array of packed ones."""
+    if high <= low or not bits:
+        return np.zeros(max(0, high - low), np.int64)
+    first, last = low // 8, -(-high // 8)
+    rows = np.zeros((last - first, bits + 8), np.uint8)
+    rows[:, :bits] = data[first * bits : last * bits].reshape(-1, bits)
+    out = np.zeros((last - first, 8), np.uint64)
+    for k in range(8):
+        at, shift = divmod(k * bits, 8)
+        for b in range(-(-(bits + shift) // 8)):
+            out[:, k] |= rows[:, at + b].astype(np.uint64) << np.uint64(8 * b)
+        out[:, k] >>= np.uint64(shift)
+    out &= np.uint64((1 << bits) - 1)
+    return out.ravel()[low - 8 * first : high - 8 * first].astype(np.int64)
 
 
 def _sorted_pairs(seq: np.ndarray, where: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,20 +192,28 @@ class Shard:
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("not a grammar shard")
-        self.base, rules, symbols, self.documents = (int(x) for x in np.frombuffer(payload, "<u4", 4, 4))
-        at = 20
+        self.base, rules, symbols, self.documents, wide, long = (int(x) for x in np.frombuffer(payload, "<u4", 6, 4))
+        ids = int(np.frombuffer(payload, "<u8", 1, 28)[0])
+        data, at = np.frombuffer(payload, np.uint8), 36
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(n: int, bits: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(payload, kind, n, at)
-            at += out.nbytes
+            out = data[at : at + packed_size(n, bits)]
+            at += len(out)
             return out
 
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u4", rules).astype(np.int64)
-        self.symbol_bounds = take("<u4", self.documents + 1).astype(np.int64)
-        self.id_bounds = take("<u8", self.documents + 1).astype(np.int64)
-        self.symbols = take("<u4", symbols)
+        self.wide, self.n_symbols = wide, symbols
+        self.rules = unpack_bits(take(2 * rules, wide), 0, 2 * rules, wide).reshape(-1, 2)
+        self.lengths = unpack_bits(take(rules, long), 0, rules, long)
+        bits = symbols.bit_length()
+        self.symbol_bounds = unpack_bits(take(self.documents + 1, bits), 0, self.documents + 1, bits)
+        bits = ids.bit_length()
+        self.id_bounds = unpack_bits(take(self.documents + 1, bits), 0, self.documents + 1, bits)
+        self.packed = take(symbols, wide)
+
+    def symbols(self, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Some of the shard's symbols; no others are unpacked."""
+        return unpack_bits(self.packed, int(low), self.n_symbols if high is None else int(high), self.wide)
 
     def _size(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -181,7 +236,7 @@ class Shard:
         return out
 
     def document(self, n: int) -> np.ndarray:
-        return self.expand(self.symbols[self.symbol_bounds[n] : self.symbol_bounds[n + 1]])
+        return self.expand(self.symbols(self.symbol_bounds[n], self.symbol_bounds[n + 1]))
 
     def ids(self, low: int, high: int) -> np.ndarray:
         """Ids ``low`` to ``high`` of the shard: only the symbols that cover them are expanded."""
@@ -189,7 +244,7 @@ class Shard:
         low = max(0, min(low, high))
         first = max(0, int(np.searchsorted(self.id_bounds, low, "right")) - 1)
         end = int(np.searchsorted(self.id_bounds, high, "left"))
-        symbols = self.symbols[self.symbol_bounds[first] : self.symbol_bounds[min(end, self.documents)]]
+        symbols = self.symbols(self.symbol_bounds[first], self.symbol_bounds[min(end, self.documents)])
         ends = np.cumsum(self._size(symbols)) + int(self.id_bounds[first])
         a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1
         if low >= high:
@@ -238,8 +293,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
         if held:
             yield close()
 
-    rows = pick(docs, doc_id="long", text="string")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = pick(docs, doc_id="long", text="string").withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
+    order = ["doc_id", "size", "hash"]  # equal or null doc_ids in any number are dealt to many tasks, too
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return scratch.keep(ordered.mapInArrow(tidy(pack), schema), "zstd")
 
 
@@ -258,7 +314,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 shard = Shard(batch.column("payload")[row].as_py())
                 doc_ids = batch.column("doc_ids")[row].values
                 n = shard.documents
-                ids = shard.expand(shard.symbols).astype("<u4")
+                ids = shard.expand(shard.symbols()).astype("<u4")
                 b = shard.id_bounds
                 crc = [zlib.crc32(ids[b[k] : b[k + 1]]) for k in range(n)]
                 fixed = [pa.array(np.full(n, batch.column(c)[row].as_py(), np.int32)) for c in ("part", "shard")]

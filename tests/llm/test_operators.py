@@ -66,7 +66,7 @@ def test_grammar_round_trip():
     for seq in ([], [5], [7] * 50, [1, 2] * 40, list(range(30)), rng.integers(0, 9, 5000).tolist()):
         bounds = np.array([0, len(seq) // 2, len(seq) // 2, len(seq)])
         s = repair_grammar.Shard(repair_grammar.compress(np.array(seq, np.uint32), bounds, least=2))
-        assert s.expand(s.symbols).tolist() == seq
+        assert s.expand(s.symbols()).tolist() == seq
         assert [s.document(k).tolist() for k in range(3)] == [seq[bounds[k] : bounds[k + 1]] for k in range(3)]
         for a, b in rng.integers(0, len(seq) + 3, (50, 2)).tolist():
             assert s.ids(a, b).tolist() == seq[a : max(a, b)]
@@ -86,16 +86,34 @@ def test_grammar_leaves_no_frequent_pair():
         ids = np.concatenate(parts)
         bounds = np.array([0, 9, len(ids) // 2, len(ids)])
         s = repair_grammar.Shard(repair_grammar.compress(ids, bounds))
-        assert s.expand(s.symbols).tolist() == ids.tolist()
+        assert s.expand(s.symbols()).tolist() == ids.tolist()
         pairs = collections.Counter()
         for k in range(3):
-            part = s.symbols[s.symbol_bounds[k] : s.symbol_bounds[k + 1]].tolist()
+            part = s.symbols(s.symbol_bounds[k], s.symbol_bounds[k + 1]).tolist()
             assert s.document(k).tolist() == ids[bounds[k] : bounds[k + 1]].tolist()
             pairs.update(itertools.pairwise(part))
         assert max(pairs.values(), default=0) < repair_grammar.LEAST
         assert len(s.rules) == len({tuple(r) for r in s.rules.tolist()}) and int(s.lengths.max()) > 64
 
 
+def test_bits_round_trip():
+    rng = np.random.default_rng(9)
+    for bits in (1, 3, 7, 8, 9, 16, 17, 31, 40, 56):
+        for n in (0, 1, 7, 8, 9, 100):
+            values = rng.integers(0, 1 << bits, n, dtype=np.int64)
+            data = np.frombuffer(repair_grammar.pack_bits(values, bits), np.uint8)
+            assert len(data) == repair_grammar.packed_size(n, bits)
+            for low, high in ((0, n), (n // 3, n), (1, n // 2), (n, n)):
+                assert repair_grammar.unpack_bits(data, low, high, bits).tolist() == values[low : max(low, high)].tolist()
+
+
+def test_shard_of_text_is_small(spark):
+    """Less than the ids as 16-bit numbers, on the whole table."""
+    shards = repair_grammar.grammar_tokens(spark.read.parquet(f"{oracle.SF}/documents.parquet"), TOKENIZER)[0]
+    ids, size = shards.agg(F.sum("n_ids"), F.sum(F.octet_length("payload"))).first()
+    assert size < 2 * ids
+
+
 @pytest.mark.parametrize("shard_ids", [1 << 20, 7])
 def test_op1(spark, docs, shard_ids):
     shards, rows = repair_grammar.grammar_tokens(docs, TOKENIZER, 2, shard_ids)
