@@ -16,8 +16,8 @@ from lodestrata.llm.common import Scratch, default_tokenizer, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is in no language that the labels have: null, or without a letter."""
-    return lang_cnn.keep_identified(docs, lang_cnn.fit(docs, held_out=None))
+    """Drops documents that the network finds in no language: null, without a letter, or no language has half of the probability."""
+    return lang_cnn.keep_identified(docs, lang_cnn.fit(docs, held_out=None), least=0.5)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,18 @@ Filters of several widths run over the one-hot bytes of fixed-length windows; ea
 largest value in the window (max pooling), and a softmax layer turns these into languages. The logits of
 all windows of a text are averaged by their lengths.
 
+Training sees bounded numbers of documents and of windows (drawn at random from whole texts), so what comes to the driver is bounded
+whatever the lengths of the texts; a prediction uses all of a text's windows.
+
 Cases: a text that is null or has no letter gets ``und`` with score 0; ties go to the language that
-sorts first; rows that repeat a doc_id get one prediction each; without labelled rows every text is
+sorts first; rows that repeat a doc_id get one prediction each, equal ones count once in training; without labelled rows every text is
 ``und``; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +30,14 @@ from .common import lowest_hashes, pick, string_bytes, tidy
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 12
-#: Labelled documents of each language that the network is fitted on, at most.
+#: Labelled documents that the network is fitted on, at most: of each language, and in all.
 PER_LANGUAGE = 600
-WINDOWS_PER_TEXT = 4
+MOST_DOCUMENTS = 4800
+#: Stochastic steps draw windows from anywhere in a whole text: so many of each document in an epoch, others in the next one.
+EPOCHS = 8
+WINDOWS_PER_EPOCH = 4
+#: A document whose likeliest language has less than this probability is in no language: all others together are likelier.
+LEAST_SCORE = 0.5
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -82,8 +92,26 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 8, batch: int = 64, rate: float = 0.004) -> Network:
-    """Adam on the cross entropy of windows; a fixed seed and order give the same network again."""
+def draw(column: pa.Array, most: int = EPOCHS * WINDOWS_PER_EPOCH, seed: int = 7) -> Iterator[np.ndarray]:
+    """For each text up to ``most`` of its windows, drawn without looking at others: [windows, length + reach - 1] bytes.
+
+    What is drawn depends on the text alone. Only drawn windows are built.
+    """
+    buf, offsets = string_bytes(column)
+    reach, places = max(WIDTHS), np.arange(WINDOW + max(WIDTHS) - 1)
+    for low, high in itertools.pairwise(offsets.tolist()):
+        count = -(-(high - low) // WINDOW)
+        rng = np.random.default_rng([seed, zlib.crc32(buf[low:high])])
+        at = low + WINDOW * (np.arange(count) if count <= most else rng.choice(count, most, replace=False))
+        index = at[:, None] + places[None, :]
+        out = np.zeros((len(at), WINDOW + reach - 1), np.uint8)
+        inside = index < high
+        out[inside] = buf[index[inside]]
+        yield out
+
+
+def train(texts: list[np.ndarray], labels: list[str], seed: int = 7, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.004) -> Network:
+    """Adam on the cross entropy of windows (of each text some drawn ones, see ``draw``); a fixed seed and order give the same network again."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     f, reach = FILTERS * len(WIDTHS), max(WIDTHS)
@@ -92,25 +120,24 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 8, b
     for k, width in enumerate(WIDTHS):
         live[:width, :, k * FILTERS : (k + 1) * FILTERS] = 1
     net.taps *= live
-    if len(languages) < 2:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if len(languages) < 2 or not sizes.sum():
         return net
-    buf, offsets = string_bytes(pa.array(texts, pa.large_string()))
-    x, row, size = windows(buf, offsets)
-    chosen = np.flatnonzero(size > 0)
-    order = rng.permutation(chosen)
-    rank = np.zeros(len(texts), np.int64)
-    keep = []
-    for w in order:  # a few windows of each text
-        if rank[row[w]] < WINDOWS_PER_TEXT:
-            rank[row[w]] += 1
-            keep.append(w)
-    x, goal = x[:, keep], np.array([languages.index(v) for v in labels])[row[keep]]
+    x = np.ascontiguousarray(np.concatenate(texts).T)
+    goal = np.repeat([languages.index(v) for v in labels], sizes)
+    # each text's windows in a random order; an epoch takes the next few of them, and begins anew at their end
+    first = np.cumsum(sizes) - sizes
+    order = np.concatenate([first[k] + rng.permutation(n) for k, n in enumerate(sizes)])
+    each = np.minimum(sizes, WINDOWS_PER_EPOCH)
+    begin, turn = np.repeat(first, each), np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    cycle = np.repeat(sizes, each)
     params = [net.taps, net.bias, net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs) + 1e-4
-        for part in np.array_split(rng.permutation(len(goal)), max(1, len(goal) // batch)):
+        chosen = rng.permutation(order[begin + (turn + epoch * WINDOWS_PER_EPOCH) % cycle])
+        for part in np.array_split(chosen, max(1, len(chosen) // batch)):
             xb, n = x[:, part], len(part)
             h, at = net.hidden(xb, where=True)
             p = softmax(h @ net.out + net.out_bias)
@@ -175,18 +202,28 @@ def remainder(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
-def fit(docs: DataFrame, held_out: int | None = 1, per_language: int = PER_LANGUAGE) -> Network:
-    """Fits a network on at most ``per_language`` documents of each language, chosen by a hash of the id.
+def fit(docs: DataFrame, held_out: int | None = 1, per_language: int = PER_LANGUAGE, most: int = MOST_DOCUMENTS) -> Network:
+    """Fits a network on at most ``per_language`` documents of each language and ``most`` in all, chosen by a hash of the id.
 
-    The ids are chosen first, without any text. Rows whose crc32 modulo 3 is ``held_out`` are left out.
+    The ids are chosen first, without any text; only drawn windows come to the driver. Rows whose crc32 modulo 3 is ``held_out`` are left out.
     """
     rows = pick(docs, doc_id="long", text="string", lang="string").where("lang IS NOT NULL AND doc_id IS NOT NULL")
     if held_out is not None:
         rows = rows.where(remainder("doc_id", 3) != held_out)
+    languages = rows.select("lang").distinct().count()
+    per_language = max(1, min(per_language, most // max(1, languages)))
     chosen = lowest_hashes(rows.select("doc_id", "lang"), per_language, "doc_id", group="lang")
     few = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # per_language ids of a language at most
-    got = sorted(few.where("text IS NOT NULL").select("doc_id", "lang", "text").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    types = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("windows", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([w.tobytes() for w in draw(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang").cast(pa.string()), made], schema=types)
+
+    drawn = few.where("text IS NOT NULL").select("doc_id", "lang", "text").mapInArrow(tidy(run), "doc_id long, lang string, windows binary").distinct()
+    got = sorted(drawn.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["lang"], r["windows"]))
+    return train([np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW + max(WIDTHS) - 1) for r in got], [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
@@ -204,8 +241,8 @@ def identify(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Da
     return pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)
 
 
-def keep_identified(docs: DataFrame, net: Network, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all their columns unchanged, whose text has a language with at least this score."""
+def keep_identified(docs: DataFrame, net: Network, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all their columns unchanged, whose text the network finds to be in a language with at least this score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)
 

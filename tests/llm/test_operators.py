@@ -251,18 +251,52 @@ def test_op7_learns_and_covers_cases(spark, docs):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].score == 0 and got[902].lang_pred in vocabulary
     net = lang_cnn.fit(table)
     assert lang_cnn.identify(docs, net).count() == len(TEXTS)
-    kept = lang_cnn.keep_identified(docs, net)
-    assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 2  # null and empty go
+    found = lang_cnn.identify(docs, net).collect()
+    for least in (0.0, 0.5, 0.999, 1.1):  # null and empty go, and what the network finds in no language
+        kept = lang_cnn.keep_identified(docs, net, least)
+        assert kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in found if r.lang_pred != "und" and r.score >= least)
+    assert lang_cnn.keep_identified(docs, net, 0.0).count() == len(TEXTS) - 2
+    assert lang_cnn.keep_identified(docs, net, 1.1).count() == 0
     assert {r.lang_pred for r in lang_cnn.identify(docs, lang_cnn.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def network(texts, labels):
+    return lang_cnn.train(list(lang_cnn.draw(pa.array(texts))), labels)
+
+
 def test_prediction_does_not_depend_on_turns():
-    net = lang_cnn.train(["abc def " * 40, "xyz uvw " * 40] * 8, ["p", "q"] * 8)
+    net = network(["abc def " * 40, "xyz uvw " * 40] * 8, ["p", "q"] * 8)
     col = pa.array(["abc " * 900, None, "", "xyz", "1", "uvw abc " * 300, "é" * 700])
     a, b = lang_cnn.predict(net, col), lang_cnn.predict(net, col, limit=600)
     assert a[0] == b[0] and np.allclose(a[1], b[1], atol=1e-6)
 
 
+def test_prediction_equals_a_loop():
+    """Convolution, pooling and softmax, one window and one place at a time."""
+    net = network(["abc def " * 40, "xyz uvw " * 40, "ééé"] * 8, ["p", "q", "r"] * 8)
+    for text in ("abc " * 150, "x", "uvw é abc 12 " * 30, "z" * 256, "z" * 257):
+        raw, reach = text.encode(), max(lang_cnn.WIDTHS)
+        total = np.zeros(3)
+        for start in range(0, len(raw), lang_cnn.WINDOW):
+            own = (raw[start : start + lang_cnn.WINDOW + reach - 1]).ljust(lang_cnn.WINDOW + reach - 1, b"\0")
+            pooled = [max(sum(net.taps[j, own[t + j], f] for j in range(reach)) for t in range(lang_cnn.WINDOW)) for f in range(len(net.bias))]
+            total += min(lang_cnn.WINDOW, len(raw) - start) * (np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias)
+        p = np.exp(total / len(raw) - (total / len(raw)).max())
+        names, score = lang_cnn.predict(net, pa.array([text]))
+        assert names == [net.languages[int(p.argmax())]] and score[0] == pytest.approx(p.max() / p.sum(), abs=1e-5)
+    narrow = net.taps.reshape(reach, 256, len(lang_cnn.WIDTHS), -1)
+    assert all((narrow[w:, :, k] == 0).all() and (narrow[:w, :, k] != 0).any() for k, w in enumerate(lang_cnn.WIDTHS))
+
+
+def test_windows_are_drawn_from_whole_texts():
+    raw = bytes(65 + k // 256 % 26 for k in range(256 * 200 + 9)).decode()
+    few, all_, none = lang_cnn.draw(pa.array([raw, raw[:1000], None]), most=20)
+    assert few.shape == (20, 260) and all_.shape == (4, 260) and none.shape == (0, 260)
+    assert len({bytes(w) for w in few}) > 10 and max(raw.encode().find(bytes(w[:256])) for w in few) > 256 * 20
+    assert bytes(all_[3]).rstrip(b"\0") == raw[768:1000].encode() and bytes(all_[0]) == raw[:260].encode()
+
+
 # --- 4: near duplicates
 
 

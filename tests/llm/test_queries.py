@@ -3,7 +3,7 @@ import itertools
 import pytest
 
 import corpus_pipeline
-from lodestrata.llm import queries
+from lodestrata.llm import lang_cnn, queries
 
 from .. import oracle
 
@@ -34,7 +34,9 @@ def test_pipeline(spark):
         before = {r.doc_id: r.text for r in docs.collect()}
         out = corpus_pipeline.Scratch(spark, "t").keep(stage(spark, docs, oracle.SF))
         if name == "language":
-            assert {r.doc_id for r in out.collect()} == {i for i, t in before.items() if t and any(c.isalpha() for c in t)}
+            found = lang_cnn.identify(docs, lang_cnn.fit(docs, held_out=None)).collect()
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in found if r.lang_pred != "und" and r.score >= 0.5}
+            assert all(r.lang_pred == "und" for r in found if not any(c.isalpha() for c in before[r.doc_id] or ""))
         elif name == "lines":
             assert {r.doc_id for r in out.collect()} == set(before)
             seen = [x.strip().lower() for r in out.collect() for x in set(r.text.split("\n"))]
