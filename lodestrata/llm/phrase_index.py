@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, pick, slices, string_bytes, tidy, word_values
+from .common import Scratch, hash_words, pick, slices, spread, string_bytes, tidy, word_values
 
 WINDOW = 10
 #: Words of a block of the index; a document is never split, so a longer one is a block of its own.
 BLOCK_WORDS = 1 << 20
-#: Text of test items that goes to all tasks at once; more items are searched in several passes.
+#: Text of test items that goes to all tasks at once; more items are searched in several passes, one after another.
 PASS_BYTES = 16 << 20
+#: Places that a search holds at once.
+CANDIDATES = 1 << 17
 
 VALUES = word_values("alnum")
 
@@ -107,21 +109,6 @@ class Block:
     def postings(self, number: int) -> np.ndarray:
         return self.places[self.lists[number] : self.lists[number + 1]]
 
-    def phrase(self, numbers: np.ndarray) -> np.ndarray:
-        """Places where the terms stand one after another, within one document."""
-        size = self.lists[numbers + 1] - self.lists[numbers]
-        order = np.argsort(size, kind="stable")
-        begin = self.postings(numbers[order[0]]).astype(np.int64) - int(order[0])
-        for k in order[1:]:
-            if not len(begin):
-                return begin
-            have = self.postings(numbers[k])
-            at = np.searchsorted(have, begin + int(k))
-            at[at == len(have)] = 0
-            begin = begin[have[at] == begin + int(k)]
-        doc = np.searchsorted(self.starts, begin, "right")
-        return begin[(begin >= 0) & (begin + len(numbers) <= self.starts[np.minimum(doc, len(self.starts) - 1)])]
-
     def near(self, numbers: np.ndarray, reach: int) -> np.ndarray:
         """Places of the rarest term that have all other terms within ``reach`` words, in the same document."""
         size = self.lists[numbers + 1] - self.lists[numbers]
@@ -137,49 +124,95 @@ class Block:
 
 
 class Phrases:
-    """Distinct windows of test items, by length, and the items that have each."""
+    """All windows of some test items, held as places in the items' terms: 16 bytes for each of their words.
+
+    ``numbers`` are the words as numbers of ``terms`` (distinct, sorted), item after item. For each length, ``groups`` has the
+    places where the windows of that length begin, and the items that they belong to.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
-        by: dict[bytes, set[int]] = {}
-        column = pa.array([t for _, t in items], pa.large_string())
-        for first, terms, bounds in text_terms(column):
-            for k in range(len(bounds) - 1):
-                own, item = terms[bounds[k] : bounds[k + 1]], items[first + k][0]
-                if item is None or not len(own):
-                    continue
-                n = min(window, len(own))
-                for w in np.lib.stride_tricks.sliding_window_view(own, n):
-                    by.setdefault(w.tobytes(), set()).add(item)
+        owners = [i for i, (item, _) in enumerate(items) if item is not None]
+        column = pa.array([items[i][1] for i in owners], pa.large_string())
+        found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, terms, bounds in text_terms(column):
+            found.append(terms)
+            sizes.append(np.diff(bounds))
+        sizes = np.concatenate(sizes)
+        self.terms, numbers = np.unique(np.concatenate(found), return_inverse=True)
+        self.numbers = numbers.astype(np.int32)
+        self.items = np.array([items[i][0] for i in owners], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lengths = np.minimum(sizes, window)
         self.groups = []
-        for n in sorted({len(k) // 8 for k in by}):
-            own = sorted(k for k in by if len(k) == 8 * n)
-            self.groups.append((np.frombuffer(b"".join(own), np.uint64).reshape(-1, n), [sorted(by[k]) for k in own]))
-
-    def search(self, block: Block) -> tuple[np.ndarray, list[set[int]]]:
-        """Hit words of the block, and the items found in each document."""
-        docs = len(block.starts) - 1
-        edge = np.zeros(int(block.starts[-1]) + 1, np.int64)
-        items: list[set[int]] = [set() for _ in range(docs)]
-        for terms, owners in self.groups:
-            numbers = block.find(terms)
-            for k in np.flatnonzero((numbers >= 0).all(1)):
-                begin = block.phrase(numbers[k])
-                if len(begin):
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n)
+            count = sizes[own] - n + 1
+            self.groups.append((n, spread(starts[own], count).astype(np.int64), np.repeat(own, count).astype(np.int32)))
+
+    def search(self, block: Block, at_once: int = CANDIDATES) -> tuple[np.ndarray, list[set[int]]]:
+        """Hit words of the block, and the items found in each document.
+
+        Windows with a term that the block lacks are out. Each other one begins where its rarest term's list says, shifted by
+        the term's offset; these places are intersected with the shifted lists of its other terms, from the next rarest on,
+        for many windows together, ``at_once`` places at a time.
+        """
+        words = int(block.starts[-1])
+        edge = np.zeros(words + 1, np.int64)
+        docs, pairs = len(block.starts) - 1, []
+        lists = block.find(self.terms)  # of each distinct term
+        sizes = np.where(lists >= 0, np.diff(block.lists)[np.maximum(lists, 0)] if len(block.terms) else 0, 0)
+        holder = None
+        for n, begins, owners in self.groups:
+            here = np.concatenate([[0], np.cumsum(sizes[self.numbers] > 0)])
+            live = np.flatnonzero(here[begins + n] - here[begins] == n)
+            for low in range(0, len(live), at_once // (8 * n)):
+                some = live[low : low + at_once // (8 * n)]
+                inside = self.numbers[begins[some][:, None] + np.arange(n)]
+                order = np.argsort(sizes[inside], axis=1, kind="stable")
+                rarest = np.take_along_axis(inside, order[:, :1], 1)[:, 0]
+                count = sizes[rarest]
+                ends = np.cumsum(count)
+                if holder is None:  # the list that each place is in
+                    holder = np.empty(words, np.int32)
+                    holder[block.places] = np.repeat(np.arange(len(block.terms), dtype=np.int32), np.diff(block.lists))
+                first = 0
+                while first < len(some):
+                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + at_once, "right")))
+                    part = np.arange(first, last)
+                    window = np.repeat(part, count[part])
+                    begin = block.places[spread(block.lists[lists[rarest[part]]], count[part])].astype(np.int64) - order[window, 0]
+                    keep = (begin >= 0) & (begin + n <= words)
+                    window, begin = window[keep], begin[keep]
+                    for k in range(1, n):
+                        offset = order[window, k]
+                        keep = holder[begin + offset] == lists[inside[window, offset]]
+                        window, begin = window[keep], begin[keep]
+                    doc = np.searchsorted(block.starts, begin, "right") - 1
+                    keep = begin + n <= block.starts[doc + 1]
+                    window, begin, doc = window[keep], begin[keep], doc[keep]
                     np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + terms.shape[1], -1)
-                    for d in set((np.searchsorted(block.starts, begin, "right") - 1).tolist()):
-                        items[d].update(owners[k])
+                    np.add.at(edge, begin + n, -1)
+                    if len(doc):
+                        pairs.append(np.unique(np.stack([doc, self.items[owners[some[window]]]], 1), axis=0))
+                    first = last
+        items: list[set[int]] = [set() for _ in range(docs)]
+        for d, item in np.concatenate(pairs).tolist() if pairs else ():
+            items[d].add(item)
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def read_items(items: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple[int, str | None]]]:
+class Passes:
     """The test items, in passes of about ``pass_bytes``: their size is measured first, and decides on the number of passes."""
-    rows = pick(items, item_id="long", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    passes = -(-total // pass_bytes) or 1
-    for k in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else rows
-        yield [(r["item_id"], r["text"]) for r in part.toArrow().to_pylist()]
+
+    def __init__(self, items: DataFrame, pass_bytes: int = PASS_BYTES):
+        self.rows = pick(items, item_id="long", text="string").where("item_id IS NOT NULL AND text IS NOT NULL")
+        size = self.rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        self.count = -(-size // pass_bytes) or 1
+
+    def __iter__(self) -> Iterator[list[tuple[int, str]]]:
+        for k in range(self.count):
+            part = self.rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.count)) == k) if self.count > 1 else self.rows
+            yield [(r["item_id"], r["text"]) for r in part.distinct().toArrow().to_pylist()]
 
 
 def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -235,12 +268,16 @@ def search_index(index: DataFrame, items: DataFrame, window: int = WINDOW, pass_
         if rows:
             yield out(rows)
 
-    # one pass at a time is on the driver; its bytes are bounded by ``pass_bytes``
-    passes = [index.mapInArrow(tidy(searcher(spark.sparkContext.broadcast(Phrases(part, window)))), schema) for part in read_items(items, pass_bytes)]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    if len(passes) > 1:
+    found, scratch = None, Scratch(spark, "passes")
+    passes = Passes(items, pass_bytes)
+    for part in passes:
+        shared = spark.sparkContext.broadcast(Phrases(part, window))  # ``pass_bytes`` of text: four bytes for each of them at most
+        more = index.mapInArrow(tidy(searcher(shared)), schema)
+        if passes.count > 1:  # of several passes: each is searched before the next one is read
+            more = scratch.keep(more)
+            shared.destroy()
+        found = more if found is None else found.unionByName(more)
+    if passes.count > 1:
         found = found.repartition("part", "block", "row").sortWithinPartitions("part", "block", "row")
     return found.mapInArrow(tidy(finish), out_schema)
 

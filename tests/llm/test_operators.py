@@ -417,6 +417,40 @@ def test_op5_equals_brute_force(spark, pass_bytes, block_words):
     assert sorted([tuple(r)[:6] for r in out.collect()], key=str) == brute_hits(rows, items)
 
 
+def test_phrases_in_few_places_at_once():
+    rng = np.random.default_rng(17)
+    texts = [" ".join(rng.choice(list("abcde"), int(rng.integers(0, 60)))) for _ in range(40)]
+    items = [(k % 9, t) for k, t in enumerate(texts[::4])] + [(50, "a"), (51, "e d c"), (None, "a b")]
+    held = [(terms, bounds) for _, terms, bounds in phrase_index.text_terms(pa.array(texts))]
+    terms, bounds = held[0]
+    ranked, lists, places = phrase_index.invert(terms)
+    block = phrase_index.Block(*(x.astype(k).tobytes() for x, k in zip((bounds, ranked, lists, places), ("<i8", "<u8", "<i8", "<i4"), strict=True)))
+    expected = {r[0]: r[2:4] for r in brute_hits(list(enumerate(texts)), items)}
+    for at_once in (1 << 20, 200, 80):
+        hit, found = phrase_index.Phrases(items).search(block, at_once)
+        assert {k: (int(hit[bounds[k] : bounds[k + 1]].sum()), len(found[k])) for k in range(len(texts))} == expected
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = np.random.default_rng(18)
+    rows = [(k, " ".join(rng.choice(list("abcdefg"), 40, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05]))) for k in range(12)]
+    index = phrase_index.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), common.Scratch(spark, "t"), block_words=1 << 20)
+    phrases, every = ["g a", "f g", "e d c", "a", "z a"], collections.Counter(w for _, t in rows for w in t.split())
+    for reach in (0, 1, 3, 50):
+        got = {(r.doc_id, r.phrase, r.place) for r in phrase_index.proximity(index, phrases, reach).collect()}
+        expected = set()
+        for k, p in enumerate(phrases):
+            own = sorted(set(p.split()))
+            if all(every[w] for w in own):
+                least = min(every[w] for w in own)
+                rare = [w for w in own if every[w] == least]
+                assert len(rare) == 1
+                for i, t in rows:
+                    w = t.split()
+                    expected |= {(i, k, at) for at, x in enumerate(w) if x == rare[0] and set(own) <= set(w[max(0, at - reach) : at + reach + 1])}
+        assert got == expected
+
+
 def test_op5_cases(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in phrase_index.contamination(docs, none).collect())
