@@ -7,7 +7,7 @@ likelihood; what the estimate can't rule out is checked on the full shingle sets
 
 All links of a candidate group are found without all its pairs:
 
-1. Documents of equal sets are one class, with a 64-bit hash of the set as its number.
+1. Documents of equal sets, told by a 128-bit hash, are one class. Its number has 64 bits; classes never share one.
 2. In each bucket (band, register values) every member is compared with the bucket's smallest class only; the
    three likeliest of a class's pairs are checked.
 3. Links give components. Buckets whose members are all in one component are done.
@@ -193,24 +193,35 @@ def join_components(comps: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
 # --- the operator --------------------------------------------------------------------------
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A 64-bit hash of a set: documents of equal sets are one class."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set: documents of equal sets are one class."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+
+
+def _classes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Both halves of each set's class, null for empty sets."""
+    found = [class_of(x) if len(x) else (None, None) for x in sets]
+    return [pa.array([c[k] for c in found], pa.int64()) for k in (0, 1)]
 
 
 def sketch_documents(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, rep, sketch), one row a document; rep is the class, null for empty sets."""
-    types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("sketch", pa.binary())])
+    """(doc_id, n_shingles, h1, h2, sketch), one row a document; h1 and h2 are the class, null for empty sets."""
+    types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column("text"), width):
                 sketch = registers(sets)
-                reps = [class_of(s) if len(s) else None for s in sets]
-                arrays = [batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(reps, pa.int64()), pa.array([k.tobytes() if len(s) else None for s, k in zip(sets, sketch, strict=True)], pa.binary())]
+                arrays = [batch.column("doc_id").slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *_classes(sets), pa.array([k.tobytes() if len(s) else None for s, k in zip(sets, sketch, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, schema=types)
 
-    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), "doc_id long, n_shingles long, rep long, sketch binary"))
+    return scratch.keep(pick(docs, doc_id="long", text="string").mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"))
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` (h1, h2, ...) with rep: h1, and the numbers behind it for the few classes that share their h1 with another one."""
+    return classes.withColumn("rep", F.col("h1") + F.row_number().over(Window.partitionBy("h1").orderBy("h2")) - 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -257,7 +268,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "x", "s_a", "s_x").mapInArrow(tidy(run), "a long, x long")
 
 
-def _cells(live: DataFrame, rows: int = 1024, shingles: int = 1 << 20) -> DataFrame:
+def _cells(live: DataFrame, rows: int = 384, shingles: int = 1 << 20) -> DataFrame:
     """The members of buckets with several components, dealt to cells (key, kind, i, j).
 
     ``live`` has (key, rep, comp, n, main, main_rows, main_n, other_rows, other_n): main is the bucket's largest
@@ -397,11 +408,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     s = Scratch(docs.sparkSession, "setsketch")
     cut = least_estimate(percent / 100)
     every = sketch_documents(docs, width, s)
-    real = every.where("doc_id IS NOT NULL AND rep IS NOT NULL")
-    classes = s.keep(real.groupBy("rep").agg(F.min("doc_id").alias("doc")))
+    real = every.where("doc_id IS NOT NULL AND h1 IS NOT NULL")
+    classes = s.keep(numbered(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"))))
     # one row for each class: the sketch that its smallest document has (all of the class have the same)
-    own = real.select(F.col("rep").alias("r"), F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), "sketch")
-    sketches = s.keep(classes.join(own, (F.col("rep") == F.col("r")) & (F.col("doc") == F.col("d"))).select("rep", "n", "sketch").groupBy("rep", "n").agg(F.min("sketch").alias("sketch")))
+    own = real.select("h1", "h2", F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    sketches = s.keep(classes.join(own, ["h1", "h2", "doc"]).select("rep", "n", "sketch").groupBy("rep", "n").agg(F.min("sketch").alias("sketch")))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
@@ -420,20 +431,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     s.drop(buckets)
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+        types = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.binary())])
         for batch in batches:
             for _, sets in shingle_sets(batch.column("text"), width):
                 full = [x for x in sets if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in full], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], schema=types)
+                yield pa.RecordBatch.from_arrays([*_classes(full), pa.array([x.tobytes() for x in full], pa.binary())], schema=types)
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("x").alias("rep"))).distinct()
 
     def full_sets(reps: DataFrame) -> DataFrame:
         """Shingle sets, made from the texts again, of the documents that are checked."""
-        ids = classes.join(reps, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-        texts = pick(docs, doc_id="long", text="string").join(ids, "doc_id", "left_semi").select("text")
-        return s.keep(texts.mapInArrow(tidy(set_rows), "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles")))
+        wanted = classes.join(reps, "rep", "left_semi")
+        texts = pick(docs, doc_id="long", text="string").join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        found = texts.mapInArrow(tidy(set_rows), "h1 long, h2 long, shingles binary").groupBy("h1", "h2").agg(F.max("shingles").alias("shingles"))
+        return s.keep(found.join(wanted.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "shingles"))
 
     def live() -> DataFrame:
         named = s.keep(members.join(comps, members["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")))
@@ -453,12 +465,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not rest.isEmpty():
         sets = sets.unionAll(full_sets(rest.select("rep").distinct().join(sets, "rep", "left_anti")))
         comps = join_components(comps, links_across(rest.join(sets, "rep"), percent), s)
-    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("rep", "doc", F.coalesce("comp", "rep").alias("comp"))
+    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", "doc", F.coalesce("comp", "rep").alias("comp"))
     least = s.keep(named.groupBy("comp").agg(F.min("doc").alias("component_id")))
-    by_class = s.keep(named.join(least, "comp").select("rep", "component_id"))
+    by_class = s.keep(named.join(least, "comp").select("h1", "h2", "component_id"))
     s.drop(members)
-    rows = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    out = rows.join(by_class, "rep", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    rows = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2")
+    out = rows.join(by_class, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -358,6 +358,12 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_groups(rows, 4, 80)
 
 
+def test_classes_that_share_half_a_hash(spark):
+    """Equal sets are told by both halves, and their numbers are different."""
+    few = spark.createDataFrame([(1, 5), (1, 9), (1, 7), (50, 1)], "h1 long, h2 long")
+    assert {(r.h1, r.h2): r.rep for r in setsketch.numbered(few).collect()} == {(1, 5): 1, (1, 7): 2, (1, 9): 3, (50, 1): 50}
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.8, 0.95):
