@@ -6,7 +6,9 @@ silence and the bytes come back unchanged.
 
 Cases: null text is empty; the payload of an empty text is 576 padding bytes; equal texts give equal
 media; rows that repeat are kept; an empty table gives an empty table; other columns are ignored.
-In parsing, null media gives no frames and a duration of 0; bytes that are no frame count as junk.
+In parsing, null media gives no frames and a duration of 0; bytes that are no frame count as junk. Free-format streams (frames
+without a stated bitrate) aren't read and count as junk. Checksums of all three layers are verified; ``unchecked`` counts
+Layer II frames whose allocation would reach beyond the frame. Input columns named like a new one are replaced by it.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BITRATES = {
     (False, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
+# Layer II: bits of the allocation of a subband as (bits, subbands) from the lowest on, by table; and the tables' subbands.
+ALLOCATION = {"high": ((4, 11), (3, 12), (2, 7)), "low": ((4, 2), (3, 10)), "half": ((4, 4), (3, 7), (2, 19))}
 VERSIONS = {0: "2.5", 2: "2", 3: "1"}
 
 UNIT = 576
@@ -78,14 +82,53 @@ def header(data: bytes, at: int) -> dict | None:
     return {"version": version, "layer": layer, "kbit": kbit, "hz": hz, "samples": samples, "length": length, "mono": mono, "checked": not b1 & 1, "side": side if layer == 3 else 0, "mode": b3 >> 6, "extension": b3 >> 4 & 3}
 
 
-def covered(h: dict) -> int | None:
-    """Bytes behind the checksum that it covers, in whole bytes; None where allocation tables would be needed."""
+def covered(h: dict) -> int:
+    """Bytes behind the checksum that it covers, in Layers I and III."""
     if h["layer"] == 3:
         return h["side"]
-    if h["layer"] == 1:
-        bound = 4 * (h["extension"] + 1) if h["mode"] == 1 else 32
-        return 16 if h["mono"] else (4 * (2 * bound + 32 - bound) + 7) // 8
-    return None
+    bound = 4 * (h["extension"] + 1) if h["mode"] == 1 else 32
+    return 16 if h["mono"] else (4 * (2 * bound + 32 - bound) + 7) // 8
+
+
+def allocation_widths(h: dict) -> list[int]:
+    """Layer II: the bits of each subband's allocation."""
+    each = h["kbit"] // (1 if h["mono"] else 2)
+    if h["version"] != "1":
+        table, bands = "half", 30
+    elif each < 56:
+        table, bands = "low", 12 if h["hz"] == 32000 else 8
+    else:
+        table, bands = "high", 30 if each >= 96 and h["hz"] != 48000 else 27
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)][:bands]
+
+
+def layer2_bits(data: bytes, at: int, h: dict) -> int | None:
+    """Layer II: bits behind the checksum that it covers, allocation and scale factor selection; None if they reach beyond the frame."""
+    widths = allocation_widths(h)
+    bound = 0 if h["mono"] else min(len(widths), 4 * (h["extension"] + 1) if h["mode"] == 1 else 32)
+    body = data[at + 6 : at + h["length"]]
+    value, have, used, chosen = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for k, width in enumerate(widths):
+        for _ in range(2 if k < bound else 1):
+            if used + width > have:
+                return None
+            if (value >> (have - used - width)) & ((1 << width) - 1):
+                chosen += 1 if k < bound or h["mono"] else 2
+            used += width
+    return used + 2 * chosen if used + 2 * chosen <= have else None
+
+
+def layer2_sound(data: bytes, at: int, h: dict) -> bool | None:
+    """Whether a Layer II frame's checksum is right; None if it can't be told."""
+    bits = layer2_bits(data, at, h)
+    if bits is None:
+        return None
+    whole = bits // 8
+    state = int(crc16(np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + whole], np.uint8)[None, :])[0])
+    for k in range(bits % 8):
+        bit = data[at + 6 + whole] >> (7 - k) & 1
+        state = ((state << 1) & 0xFFFF) ^ (0x8005 if (state >> 15 ^ bit) else 0)
+    return state == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def _syncsafe(b: bytes) -> int:
@@ -133,7 +176,10 @@ def vbr_table(data: bytes, at: int, h: dict) -> dict | None:
         if flags & 4:
             out["toc"], p = list(data[p : p + 100]), p + 100
         if flags & 8:
-            out["quality"] = int.from_bytes(data[p : p + 4], "big")
+            out["quality"], p = int.from_bytes(data[p : p + 4], "big"), p + 4
+        if p + 24 <= at + h["length"] and data[p : p + 4].isalnum():  # the encoder's name, and samples that it put before and behind
+            both = int.from_bytes(data[p + 21 : p + 24], "big")
+            out |= {"encoder": data[p : p + 9].decode("latin-1").rstrip("\0"), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     x = at + 36
     if data[x : x + 4] == b"VBRI" and x + 26 <= at + h["length"]:
@@ -149,15 +195,29 @@ def _follows(a: dict, b: dict | None) -> bool:
 
 def _sound(data: bytes, at: int, h: dict) -> bool:
     """Whether a frame's checksum is right, where it has one that can be verified."""
-    n = covered(h) if h["checked"] else None
-    if n is None:
+    if not h["checked"]:
         return True
-    row = np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n], np.uint8)
+    if h["layer"] == 2:
+        return layer2_sound(data, at, h) is not False
+    row = np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered(h)], np.uint8)
     return int(crc16(row[None, :])[0]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
+def _run(view: np.ndarray, at: int, end: int, size: int) -> int:
+    """How many frames of equal size and header follow each other from ``at`` on; looked for in blocks of twice the size each, so the work is in proportion to the run."""
+    run, block, most = 1, 4, (end - at) // size
+    while run < most:
+        n = min(block, most - run)
+        heads = view[at + run * size : at + (run + n) * size].reshape(n, size)[:, :4]
+        same = (heads == view[at : at + 4]).all(1)
+        if not same.all():
+            return run + int(np.argmin(same))
+        run, block = run + n, 2 * block
+    return run
+
+
 def parse(data: bytes) -> dict:
-    """All that one stream holds. ``offsets`` and ``lengths`` have every audio frame, without a table's frame.
+    """All that one stream holds. ``duration`` is that of all audio frames, ``played`` leaves out the samples that an encoder says it added. ``offsets`` and ``lengths`` have every audio frame, without a table's frame.
 
     A header counts where the next frame follows it, or the audio ends with its frame, or it follows
     another frame and its checksum, if any, is right; other bytes are skipped one sync word at a time and counted as junk.
@@ -180,24 +240,20 @@ def parse(data: bytes) -> dict:
             at = near
             continue
         size = h["length"]
-        run = 1
-        if stop + size <= end and data[stop : stop + 4] == data[at : at + 4]:
-            rows = view[at : at + (end - at) // size * size].reshape(-1, size)
-            same = (rows[:, :4] == rows[0, :4]).all(1)
-            run = len(same) if same.all() else int(np.argmin(same))
+        run = _run(view, at, end, size)
         if not offsets and table is None and (table := vbr_table(data, at, h)):
             table["at"], run, skip = at, 1, True
         else:
             skip = False
-        rows = view[at : at + run * size].reshape(run, size)
-        if h["checked"]:
-            n = covered(h)
-            if n is None:
-                checks[2] += run
-            else:
-                right = crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + n]], 1)) == rows[:, 4].astype(np.uint32) * 256 + rows[:, 5]
-                checks[0] += int(right.sum())
-                checks[1] += int(run - right.sum())
+        if h["checked"] and h["layer"] == 2:
+            for k in range(run):
+                right = layer2_sound(data, at + k * size, h)
+                checks[2 if right is None else 0 if right else 1] += 1
+        elif h["checked"]:
+            n, rows = covered(h), view[at : at + run * size].reshape(run, size)
+            right = crc16(np.concatenate([rows[:, 2:4], rows[:, 6 : 6 + n]], 1)) == rows[:, 4].astype(np.uint32) * 256 + rows[:, 5]
+            checks[0] += int(right.sum())
+            checks[1] += int(run - right.sum())
         if not skip:
             offsets.append(at + size * np.arange(run))
             lengths.append(np.full(run, size))
@@ -206,8 +262,9 @@ def parse(data: bytes) -> dict:
         synced, last = True, h
     duration = sum((Fraction(s * n, hz) for _, _, hz, s, n in shapes), Fraction(0))
     kinds = sorted({(v, layer, hz) for v, layer, hz, _, _ in shapes})
+    silent = Fraction(table["delay"] + table["padding"], kinds[0][2]) if table and "delay" in table and len(kinds) == 1 else 0
     return {
-        "tags": tags, "table": table, "kinds": kinds, "frames": sum(x[4] for x in shapes), "samples": sum(x[3] * x[4] for x in shapes), "duration": duration,
+        "tags": tags, "table": table, "kinds": kinds, "frames": sum(x[4] for x in shapes), "samples": sum(x[3] * x[4] for x in shapes), "duration": duration, "played": max(Fraction(0), duration - silent),
         "offsets": np.concatenate(offsets) if offsets else np.zeros(0, np.int64), "lengths": np.concatenate(lengths) if lengths else np.zeros(0, np.int64),
         "checked": checks[0], "broken": checks[1], "unchecked": checks[2], "junk": junk, "resyncs": resyncs,
     }
@@ -256,24 +313,31 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (UNIT - len(data) % UNIT if len(data) % UNIT or not data else 0)
 
 
-def summary(p: dict) -> str:
-    """The features of a stream as one line of JSON."""
+def summary(p: dict, media: bytes) -> str:
+    """The features of a stream as one line of JSON, with a checksum of all its frames' bytes and how even these are."""
+    ends = p["offsets"] + p["lengths"]
+    body = np.frombuffer(media, np.uint8)[p["offsets"][0] : ends[-1]] if len(ends) else np.zeros(0, np.uint8)
+    share = np.bincount(body, minlength=256) / max(1, len(body))
+    entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
     kinds = ["MPEG-%s layer %d %d Hz" % k for k in p["kinds"]]
     return json.dumps({
         "kinds": kinds, "frames": p["frames"], "samples": p["samples"], "seconds": str(p["duration"]), "checked": p["checked"], "broken": p["broken"], "unchecked": p["unchecked"], "junk": p["junk"], "resyncs": p["resyncs"],
-        "table": p["table"] and {k: v for k, v in p["table"].items() if k != "toc"}, "tags": p["tags"], "seek_crc32": zlib.crc32(p["offsets"].astype("<u8").tobytes()),
+        "table": p["table"] and {k: v for k, v in p["table"].items() if k != "toc"}, "tags": p["tags"], "frames_crc32": zlib.crc32(body), "bits_a_byte": round(entropy, 6), "seek_crc32": zlib.crc32(p["offsets"].astype("<u8").tobytes()),
     }, sort_keys=True)
 
 
+NEW = "mp_kinds string, mp_frames long, mp_numerator long, mp_denominator long, mp_played_numerator long, mp_played_denominator long, mp_checked long, mp_broken long, mp_unchecked long, mp_junk long, mp_tags string, mp_table string, mp_offsets array<long>"
+
+
 def parse_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """Every column of ``df`` but the media, and: mp_kinds, mp_frames, mp_seconds (numerator, denominator), mp_checked, mp_broken, mp_junk, mp_tags, mp_table, mp_offsets."""
-    rest = [f for f in df.schema.fields if f.name != media and not f.name.startswith("mp_")]
+    """Every column of ``df`` but the media, and those of ``NEW``: exact seconds as numerator and denominator, checksums that are right, wrong and can't be told, offsets of all frames."""
+    names = {c.split(" ")[0] for c in NEW.split(", ")}
+    rest = [f for f in df.schema.fields if f.name != media and f.name not in names]
     from pyspark.sql import types as T
 
     from .common import arrow_schema
 
-    new = "mp_kinds string, mp_frames long, mp_numerator long, mp_denominator long, mp_checked long, mp_broken long, mp_junk long, mp_tags string, mp_table string, mp_offsets array<long>"
-    schema = T.StructType(rest + T.StructType.fromDDL(new).fields)
+    schema = T.StructType(rest + T.StructType.fromDDL(NEW).fields)
     types = arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +345,8 @@ def parse_media(df: DataFrame, media: str = "media") -> DataFrame:
             out = []
             for value in batch.column(media):
                 p = parse(value.as_py() or b"")
-                out.append((json.dumps(p["kinds"]), p["frames"], p["duration"].numerator, p["duration"].denominator, p["checked"], p["broken"], p["junk"], json.dumps(p["tags"]), json.dumps(p["table"]), p["offsets"]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 10
+                out.append((json.dumps(p["kinds"]), p["frames"], p["duration"].numerator, p["duration"].denominator, p["played"].numerator, p["played"].denominator, p["checked"], p["broken"], p["unchecked"], p["junk"], json.dumps(p["tags"]), json.dumps(p["table"]), p["offsets"]))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             arrays = [batch.column(f.name) for f in rest] + [pa.array(c, t) for c, t in zip(columns, types.types[len(rest) :], strict=True)]
             yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, types.types, strict=True)], schema=types)
 
@@ -318,7 +382,7 @@ def text_features(docs: DataFrame) -> DataFrame:
                 p = parse(media)
                 payload = read_carrier(media, p)
                 n = len(payload.rstrip(b"\xff"))  # no byte of UTF-8 is 255
-                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(p), p["frames"], float(p["duration"])))
+                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), summary(p, media), p["frames"], float(p["duration"])))
             columns = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types.types[1:], strict=True))], schema=types)
 

@@ -162,6 +162,82 @@ def test_frame_lengths():
         assert mpeg_audio.header(bad, 0) is None
 
 
+def stream_of(layer, kbits, mode=0xC0, checked=True, seed=0, first=True):
+    """Frames of random content with right checksums, each bit of these taken by itself."""
+    rng, out = np.random.default_rng(seed), []
+    for kbit in kbits:
+        b1 = 0xE0 | (0x18 if first else 0x10) | (4 - layer) << 1 | (not checked)
+        head = bytes([0xFF, b1, (mpeg_audio.BITRATES[first, layer].index(kbit) + 1) << 4 | (0 if first else 8), mode])
+        h = mpeg_audio.header(head, 0)
+        body = bytearray(rng.integers(0, 255, h["length"] - 4, dtype=np.uint8).tobytes())
+        if checked:
+            body[:2] = b"\0\0"
+            n = mpeg_audio.layer2_bits(head + bytes(body), 0, h) if layer == 2 else 8 * mpeg_audio.covered(h)
+            state = 0xFFFF
+            for bit in "".join(f"{x:08b}" for x in head[2:4]) + "".join(f"{x:08b}" for x in body[2:])[:n]:
+                state = (state << 1 ^ (0x8005 if (state >> 15) ^ int(bit) else 0)) & 0xFFFF
+            body[:2] = state.to_bytes(2, "big")
+        out.append(head + bytes(body))
+    return out
+
+
+def test_layers_and_checksums():
+    assert [len(mpeg_audio.allocation_widths({"version": v, "kbit": k, "mono": m, "hz": hz})) for v, k, m, hz in (("1", 192, False, 48000), ("1", 192, False, 44100), ("1", 48, True, 32000), ("1", 32, True, 44100), ("2", 64, True, 16000))] == [27, 30, 12, 8, 30]
+    for layer, kbits in ((1, (64, 96, 128)), (2, (64, 96, 192)), (3, (64, 128, 96))):
+        for mode in (0xC0, 0x00, 0x40, 0x70):
+            for first in (True, False):
+                if not first and max(kbits) > 160:
+                    kbits = tuple(min(k, 160) for k in kbits)
+                frames = stream_of(layer, kbits * 5, mode, first=first, seed=mode)
+                p = mpeg_audio.parse(b"".join(frames))
+                assert (p["frames"], p["checked"], p["broken"], p["unchecked"], p["junk"]) == (15, 15, 0, 0, 0)
+                assert p["offsets"].tolist() == list(itertools.accumulate([0] + [len(f) for f in frames[:-1]]))
+                assert p["duration"] == sum(mpeg_audio.Fraction(h["samples"], h["hz"]) for h in (mpeg_audio.header(f, 0) for f in frames))
+                broken = bytearray(b"".join(frames))
+                broken[len(frames[0]) + 7] ^= 0x40  # in the allocation or side information of the second frame
+                assert mpeg_audio.parse(bytes(broken))["broken"] == 1
+
+
+def test_parser_work_follows_the_length(monkeypatch):
+    """Bitrates that change every two frames: no header is compared more than a few times."""
+    frames = stream_of(3, [64, 64, 96, 96] * 500, checked=False)
+    seen = []
+    monkeypatch.setattr(mpeg_audio, "_run", lambda view, at, end, size, run=mpeg_audio._run: seen.append(run(view, at, end, size)) or seen[-1])
+    assert mpeg_audio.parse(b"".join(frames))["frames"] == 2000 and sum(seen) == 2000
+    view = np.frombuffer(b"".join(frames[:1] * 100 + frames[2:]), np.uint8)
+    assert mpeg_audio._run(view, 0, len(view), len(frames[0])) == 100
+
+
+def test_tags_and_tables():
+    frames = stream_of(3, [128] * 6, checked=False)
+    side = 4 + mpeg_audio.header(frames[0], 0)["side"]
+    lame = b"Xing" + (15).to_bytes(4, "big") + (5).to_bytes(4, "big") + (2000).to_bytes(4, "big") + bytes(range(100)) + (57).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    xing = bytearray(frames[0])
+    xing[side : side + len(lame)] = lame
+    title = "Tïtel".encode("utf-16")
+    frame = b"TIT2" + len(b"\1" + title).to_bytes(4, "big") + b"\0\0" + b"\1" + title
+    tag = b"ID3\x03\0\0" + bytes([0, 0, len(frame) + 20 >> 7, len(frame) + 20 & 127]) + frame + bytes(20)
+    p = mpeg_audio.parse(tag + bytes(xing) + b"".join(frames[1:]))
+    assert p["tags"]["id3v2"] == {"version": 3, "frames": {"TIT2": "Tïtel"}} and p["frames"] == 5 and p["junk"] == 0
+    assert (p["table"]["frames"], p["table"]["bytes"], p["table"]["quality"], p["table"]["toc"][99]) == (5, 2000, 57, 99)
+    assert p["duration"] == mpeg_audio.Fraction(5 * 1152, 44100) and p["played"] == p["duration"] - mpeg_audio.Fraction(1576, 44100)
+    vbri = bytearray(frames[0])
+    vbri[36 : 36 + 30] = b"VBRI" + bytes(6) + (2100).to_bytes(4, "big") + (5).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2) + (7).to_bytes(2, "big") + (9).to_bytes(2, "big")
+    p = mpeg_audio.parse(bytes(vbri) + b"".join(frames[1:]))
+    assert p["table"] | {"at": 0} == {"kind": "VBRI", "bytes": 2100, "frames": 5, "toc": [21, 27], "at": 0} and p["frames"] == 5
+    for n in (1, 3, 40, 417, 500, 900):  # cut anywhere
+        assert mpeg_audio.parse((tag + bytes(xing) + b"".join(frames[1:]))[:-n])["frames"] == 5 - -(-n // 417)
+    assert mpeg_audio.parse(tag[:30])["frames"] == 0
+
+
+def test_parse_media_cases(spark):
+    media = b"".join(stream_of(2, [64] * 3))
+    df = spark.createDataFrame([(1, media, "x", 5), (1, media, "x", 5), (2, None, None, None), (3, b"", "", 0), (4, b"\xff" * 5000, "j", 1)], "id long, media binary, mp_other string, mp_frames int")
+    got = sorted(((r.id, r.mp_frames, r.mp_checked, r.mp_junk, r.mp_numerator / r.mp_denominator, r.mp_other) for r in mpeg_audio.parse_media(df).collect()), key=str)
+    assert got == [(1, 3, 3, 0, 3 * 1152 / 44100, "x")] * 2 + [(2, 0, 0, 0, 0, None), (3, 0, 0, 0, 0, ""), (4, 0, 0, 5000, 0, "j")]
+    assert mpeg_audio.parse_media(df.limit(0)).count() == 0
+
+
 def test_op2(docs):
     rows = mpeg_audio.text_features(docs).collect()
     expected = []
@@ -173,7 +249,7 @@ def test_op2(docs):
     by = collections.defaultdict(set)
     for r in rows:
         by[r.payload_sha256].add((r.media_sha256, r.feature))
-    assert all(len(v) == 1 for v in by.values())
+    assert all(len(v) == 1 for v in by.values()) and len({f for v in by.values() for _, f in v}) == len(by)
     media = docs.select("doc_id", F.lit(mpeg_audio.write_carrier(mpeg_audio.padded(b"x"))).alias("media"), F.lit("x").alias("mp_frames"))
     assert mpeg_audio.parse_media(media.unionByName(media.limit(1).withColumn("media", F.lit(None).cast("binary")))).select("mp_frames").distinct().count() == 2
     assert mpeg_audio.text_features(docs.limit(0)).count() == 0
