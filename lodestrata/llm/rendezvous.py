@@ -44,15 +44,15 @@ def assign(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] |
     """
     rows = pick(docs, doc_id="long", text="string")
     key = record_key(F.col("doc_id"))
-    part = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % parts
-    placed = rows.select(
+    described = rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
         shard_of(key, weights).cast("int").alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-        part.alias("part"),
     )
+    whole = F.concat_ws(":", record_key(F.col("doc_id")), "text_crc32", "size")  # rows of one key are dealt to many groups
+    placed = described.withColumn("part", F.conv(F.substring(F.md5(whole.cast("binary")), 1, 8), 16, 10).cast("long") % parts)
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1
@@ -79,7 +79,7 @@ p AS (
          arg_min(s.shard, (-ln({draw_sql}), s.shard)) AS grown_shard
   FROM d, (SELECT CAST(unnest(range({shards + 1})) AS INTEGER) AS shard) AS s GROUP BY ALL)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {PARTS}, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key || ':' || text_crc32 || ':' || size), 1, 8) AS BIGINT) % {PARTS}, doc_id, text_crc32, size) - 1 AS slot, grown_shard
 FROM p
 """
 

@@ -36,6 +36,21 @@ def encode(text, end):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids + [end]
 
 
+def test_shared_folder(spark, monkeypatch):
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Bare.sparkContext.master = master
+        with pytest.raises(RuntimeError):
+            common.shared_folder(Bare)
+
+
 def test_tokens_equal_library():
     words = ["plain", "It's", "<|endoftext|>", "ÀÉ!!", "ﬁ", "İ", "a" * 300, "", "x%%%y", "naïve.", "１２", "ΣΑΣ", "a\x1cb"]
     rng = np.random.default_rng(0)
@@ -754,6 +769,9 @@ def test_op9(spark, docs):
     assert 0.72 < np.mean([r.shard == 0 for r in heavy]) < 0.78
     assert len({r.shard for r in rows if r.doc_id == 5}) == 1
     assert rendezvous.assign(docs.limit(0), equal).count() == 0
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    hot = rendezvous.assign(same, equal).collect()  # one key: one shard, numbered in many groups
+    assert len({r.shard for r in hot}) == 1 and sorted(r.slot for r in hot) == list(range(3000))
     with pytest.raises(ValueError):
         rendezvous.shard_of(F.lit("x"), {0: 0.0})
 
