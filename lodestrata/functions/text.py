@@ -52,13 +52,17 @@ def glob_regex(pattern: str, cross: bool = True) -> str:
         elif c == "?":
             out += "." if cross else "[^/]"
         elif c == "[" and (end := pattern.find("]", k + 2)) > 0:
-            body = pattern[k + 1 : end].replace("\\", "\\\\")
+            body = re.sub(r"([\\\[&~|])", r"\\\1", pattern[k + 1 : end])
             out, k = out + "[" + ("^" + body[1:] if body[0] in "!^" else body) + "]", end
         elif c == "[":
             raise ValueError(f"unclosed class in {pattern!r}")
         else:
             out += re.escape(c)
         k += 1
+    try:
+        re.compile(out)
+    except re.error as e:
+        raise ValueError(f"bad class in {pattern!r}") from e
     return f"(?s)^(?:{out})$"
 
 
@@ -79,9 +83,15 @@ def matches_globs(path: Column, patterns: list[str], cross: bool = True) -> Colu
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:
-    """Whether any component of a path matches: a directory that is excluded takes its subtree with it."""
-    either = "|".join(glob_regex(p).removeprefix("(?s)") for p in patterns)
-    return F.exists(F.split(path, "/"), lambda part: part.rlike(f"(?s){either}")) if patterns else F.lit(False)
+    """Whether any component of a path matches: a directory that is excluded takes its subtree with it. Invalid patterns are skipped."""
+    found = []
+    for p in patterns:
+        try:
+            found.append(glob_regex(p).removeprefix("(?s)"))
+        except ValueError:
+            continue
+    either = "|".join(found)
+    return F.exists(F.split(path, "/"), lambda part: part.rlike(f"(?s){either}")) if found else F.lit(False)
 
 
 def safe_symlink_target(target: Column) -> Column:

@@ -58,14 +58,12 @@ class Repository:
         return codec.compress(raw, self.config.compression_level)
 
     def _encrypted(self, framed: Column) -> Column:
-        """A nonce that the key and the plain bytes decide: it repeats only with equal bytes, and a task run again gives the same."""
         if not self.config.encryption_enabled:
             return framed
-        nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit(self.key), F.unhex(F.sha2(framed, 256))), 256)), 1, codec.NONCE)
-        return codec.encrypt(framed, F.lit(self.key), nonce)
+        return codec.encrypt(framed, codec.secret(self.spark, self.key), codec.keyed_nonce(self.spark, framed, self.key))
 
     def _open(self, stored: Column) -> Column:
-        plain = codec.decrypt(stored, F.lit(self.key)) if self.config.encryption_enabled else stored
+        plain = codec.decrypt(stored, codec.secret(self.spark, self.key)) if self.config.encryption_enabled else stored
         return codec.decompress(plain, strict=False)
 
     # --- backup --------------------------------------------------------------------------

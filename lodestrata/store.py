@@ -1,14 +1,18 @@
 """Versioned tables with one commit record for each version; backup, prune, compact and restore on them.
 
-A version's data is written first, to folders of its own; its record in ``_commits`` is created last and only
-if no other writer has that number. A reader follows the last record, so a crash at any point leaves the
-version before readable, and two writers can't both win.
+A version's data is written first, to folders of its own; then its record, under a name that no reader looks at. Last, the
+whole record gets its number in ``_commits``, and only if no other writer has that number (a hard link on a local file
+system, elsewhere a rename, which has to refuse an existing target, as HDFS does). A reader follows the last
+record, so a crash at any point leaves the version before readable and writable, and two writers can't both win.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import secrets
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +21,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder, for loops."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
@@ -49,7 +55,7 @@ class Store:
         if not self._fs.exists(self._at("_commits")):
             raise FileNotFoundError(f"no store at {self.path}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at("_commits"))]
-        return max([int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()], default=0)
+        return max([int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n)], default=0)
 
     def _record(self, version: int) -> dict:
         if version == 0:
@@ -73,26 +79,39 @@ class Store:
             folder = f"data/{name}/{base + 1:08d}-{secrets.token_hex(6)}"
             df.write.parquet(f"{self.path}/{folder}")
             tables[name] = ([] if name in (replace or {}) else tables.get(name, [])) + [folder]
-        target = self._at(f"_commits/{base + 1:08d}.json")
-        text = json.dumps({"tables": tables, "note": note}).encode()
-        try:
-            stream = self._fs.create(target, False)  # fails if it exists
-        except Exception as e:
-            raise CommitConflict(f"version {base + 1} was made by another writer") from e
-        stream.write(bytearray(text))
+        record = self._at(f"_commits/.{base + 1:08d}-{secrets.token_hex(6)}.part")
+        stream = self._fs.create(record, False)
+        stream.write(bytearray(json.dumps({"tables": tables, "note": note}).encode()))
         stream.close()
+        try:
+            self._publish(record, self._at(f"_commits/{base + 1:08d}.json"), base + 1)
+        finally:
+            self._fs.delete(record, False)
         return base + 1
 
-    def vacuum(self) -> int:
-        """Deletes data folders that the last version doesn't use; returns how many."""
+    def _publish(self, record, target, version: int) -> None:
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(record.toUri().getPath(), target.toUri().getPath())
+                return
+            except FileExistsError as e:
+                raise CommitConflict(f"version {version} was made by another writer") from e
+        if self._fs.exists(target) or not self._fs.rename(record, target):
+            raise CommitConflict(f"version {version} was made by another writer")
+
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Deletes data folders that the last version doesn't use and that are older than ``hours``; returns how many.
+
+        Younger ones may be those of a writer that hasn't committed yet; ``hours`` has to exceed the longest write.
+        """
         used = {p for entry in self._record(self.version())["tables"].values() for p in entry}
-        gone = 0
+        gone, before = 0, (time.time() - 3600 * hours) * 1000
         if not self._fs.exists(self._at("data")):
             return 0
         for table in self._fs.listStatus(self._at("data")):
             for folder in self._fs.listStatus(table.getPath()):
                 name = f"data/{table.getPath().getName()}/{folder.getPath().getName()}"
-                if name not in used:
+                if name not in used and folder.getModificationTime() <= before:
                     self._fs.delete(folder.getPath(), True)
                     gone += 1
         return gone
