@@ -53,12 +53,22 @@ def repair_plan(members: DataFrame, bad: DataFrame, parity: int) -> DataFrame:
 
 
 def restore(references: DataFrame, data: DataFrame, payload: str = "data") -> DataFrame:
-    """(snapshot_id, path, content, missing): chunks put together in order. ``data`` has one row for each hash."""
-    parts = references.join(data.select("chunk_hash", payload), "chunk_hash", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(payload), F.lit(b"")).alias("part"))))
-    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["part"]))
-    grouped = parts.groupBy("snapshot_id", "path").agg(ordered.alias("parts"), F.count(F.when(F.col(payload).isNull(), 1)).alias("missing"))
-    return grouped.select("snapshot_id", "path", joined.alias("content"), "missing")
+    """(snapshot_id, path, content, missing): chunks put together in order, each byte copied once. ``data`` has one row for each hash.
+
+    A file is one value, so of 2 GB at most; ``Repository.restore`` streams files of any size.
+    """
+    parts = references.join(data.select("chunk_hash", F.col(payload).alias("__ls_part")), "chunk_hash", "left")
+    joined = F.expr("listagg(coalesce(__ls_part, X'')) WITHIN GROUP (ORDER BY pos)")
+    return parts.groupBy("snapshot_id", "path").agg(joined.alias("content"), F.count(F.when(F.col("__ls_part").isNull(), 1)).alias("missing"))
+
+
+def scrub(statuses: DataFrame, repairs: DataFrame, total: int | None = None) -> DataFrame:
+    """One row on verified chunks (chunk_hash, status) and their repairs (chunk_hash, repaired): checked, ok, repaired, lost, percent of ``total`` (all by default)."""
+    fixed = F.coalesce("repaired", F.lit(False))
+    counted = statuses.join(repairs, "chunk_hash", "left").agg(
+        F.count(F.lit(1)).alias("checked"), F.count(F.when(F.col("status") == "ok", 1)).alias("ok"), F.count(F.when((F.col("status") != "ok") & fixed, 1)).alias("repaired"), F.count(F.when((F.col("status") != "ok") & ~fixed, 1)).alias("lost")
+    )
+    return counted.withColumn("percent", percent_done(F.col("checked"), F.lit(total) if total is not None else F.col("checked")))
 
 
 def restore_counters(nodes: DataFrame, wanted: Column) -> DataFrame:

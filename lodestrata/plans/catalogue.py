@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import chunker, codec, parity, text
 from lodestrata.operators import audit, dedup, lineage, packing, retention
-from lodestrata.sources import packs, tree
+from lodestrata.sources import indexes, packs, tree
+from lodestrata.store import cut
 from lodestrata.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,7 +454,9 @@ def rebase_paths(spark, sf_dir):
 
 @query("file_index_lookup", f"WITH {FILES} SELECT path, size FROM files WHERE path IN ('en/src1/doc-1.txt', 'de/src0/doc-100.txt')")
 def file_index_lookup(spark, sf_dir):
-    return files(spark, sf_dir).where(F.col("path").isin("en/src1/doc-1.txt", "de/src0/doc-100.txt")).select("path", "size")
+    entries = files(spark, sf_dir).select("path", F.lit("t").alias("mtime"), F.lit("s").alias("snapshot_id"), "size")
+    wanted = spark.createDataFrame([("en/src1/doc-1.txt",), ("de/src0/doc-100.txt",)], "path string")
+    return indexes.lookup(entries, wanted).select("path", "size")
 
 
 # --- audit and restore ---------------------------------------------------------------------
@@ -521,9 +524,9 @@ def restore_counters(spark, sf_dir):
     return audit.restore_counters(files(spark, sf_dir), text.matches_globs(F.col("path"), ["fr/*"]))
 
 
-def _chunked(spark, sf_dir):
+def _chunked(spark, sf_dir, payload=False):
     """(doc_id, pos, start, length, chunk_hash) by content, with sizes for short texts."""
-    return chunker.chunk_files(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 1024, 4096)
+    return chunker.chunk_files(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 1024, 4096, payload)
 
 
 @query("cdc_invariants", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS lengths_ok FROM documents WHERE text <> ''")
@@ -541,11 +544,11 @@ def cdc_chunk_dedup(spark, sf_dir):
 @query("restore_roundtrip", "SELECT doc_id, sha256(text) AS content_sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE text <> ''")
 def restore_roundtrip(spark, sf_dir):
     """Chunk, deduplicate, compress; then look up, decompress and put together again."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    cut = _chunked(spark, sf_dir).join(raw, "doc_id").withColumn("data", F.expr("substring(content, CAST(start + 1 AS INT), CAST(length AS INT))"))
-    stored = cut.dropDuplicates(["chunk_hash"]).select("chunk_hash", codec.compress(F.col("data")).alias("stored"))
+    chunks = cut(_chunked(spark, sf_dir, payload=True))  # the chunker runs once
+    first = chunks.groupBy("chunk_hash").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("chunk_hash", "at.doc_id", "at.pos")
+    stored = chunks.join(first, ["chunk_hash", "doc_id", "pos"], "left_semi").select("chunk_hash", codec.compress(F.col("data")).alias("stored"))
     data = stored.select("chunk_hash", codec.decompress(F.col("stored")).alias("data"))
-    refs = _chunked(spark, sf_dir).select(F.lit(0).alias("snapshot_id"), F.col("doc_id").alias("path"), "pos", "chunk_hash")
+    refs = chunks.select(F.lit(0).alias("snapshot_id"), F.col("doc_id").alias("path"), "pos", "chunk_hash")
     out = audit.restore(refs, data)
     return out.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("content_sha256"), F.octet_length("content").cast("long").alias("bytes"))
 
@@ -687,3 +690,6 @@ def pack_point_reads(spark, sf_dir):
     placed = _packed(spark, sf_dir)
     read = packs.read_chunks(packs.build_packs(placed).where("pack_id % 5 <> 0"), placed.select("chunk_hash", "pack_id", "pack_offset"))
     return read.select("chunk_hash", "pack_id", "status", F.sha2("stored", 256).alias("read_sha256"))
+
+
+from lodestrata.plans import operations  # noqa: E402, F401  registers the queries that run a whole repository

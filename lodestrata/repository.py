@@ -83,6 +83,36 @@ class Repository:
         known = lineage.unchanged(files.select("path", "size", "modified"), old)
         fresh = files.join(known.where(~F.col("reused")).select("path"), "path", "left_semi")
         staged = self._stage(fresh)
+        nodes = self._file_nodes(known, staged, snapshot_id)
+        if links is not None:
+            nodes = nodes.unionByName(links.select(F.lit(snapshot_id).alias("snapshot_id"), "path", F.lit("symlink").alias("node_type"), "target"), allowMissingColumns=True)
+        self._commit_snapshot(snapshot_id, parent, nodes, staged, base, ts, hostname, tags)
+        return snapshot_id
+
+    def backup_changes(self, changed: DataFrame, files: DataFrame, hostname: str = "", tags: list[str] | None = None, ts: datetime | None = None) -> str:
+        """Commits the last snapshot with the ``changed`` paths (path) as they are now in ``files`` (path, size, modified, content); returns its id.
+
+        Only ``files`` among the changed paths are read. A changed path that isn't in ``files`` is deleted, and what is below it too.
+        Without a snapshot before, the files are all there is.
+        """
+        base = self.store.version()
+        ts = ts or datetime.now(timezone.utc)
+        before = self.table("snapshots", base).orderBy(F.desc("ts"), F.desc("snapshot_id")).limit(1).collect()
+        parent = before[0].snapshot_id if before else None
+        snapshot_id = secrets.token_hex(16)
+        paths = changed.select("path").distinct()
+        now = files.join(paths, "path", "left_semi")
+        staged = self._stage(now)
+        known = now.select("path", "size", "modified", F.lit(False).alias("reused"), F.lit(None).cast("array<string>").alias("chunk_hashes"))
+        upserts = self._file_nodes(known, staged, snapshot_id).select(*_columns("nodes"))
+        old = self.table("nodes", base).where(F.col("snapshot_id") == F.lit(parent)).withColumn("snapshot_id", F.lit(snapshot_id)).select(*_columns("nodes"))
+        deleted = paths.join(now.select("path"), "path", "left_anti")
+        nodes = lineage.merge(old, upserts, deleted).where("node_type <> 'dir'")
+        self._commit_snapshot(snapshot_id, parent, nodes, staged, base, ts, hostname, tags)
+        return snapshot_id
+
+    def _file_nodes(self, known: DataFrame, staged: DataFrame, snapshot_id: str) -> DataFrame:
+        """Nodes of the files ``known`` (path, size, modified, reused, chunk_hashes); those that aren't reused get the staged chunks."""
         c = F.array_sort(F.collect_list(F.struct("pos", "chunk_hash")))
         cut = staged.groupBy("path").agg(F.transform(c, lambda x: x["chunk_hash"]).alias("cut"), F.sum("length").alias("read"))
         joined = known.join(cut, "path", "left")
@@ -90,9 +120,10 @@ class Repository:
         size = F.when(F.col("reused"), F.col("size")).otherwise(F.coalesce("read", F.lit(0).cast("long")))
         nodes = joined.select(
             F.lit(snapshot_id).alias("snapshot_id"), "path", F.lit("file").alias("node_type"), size.alias("size"), "modified", F.lit(None).cast("int").alias("mode"), F.lit(None).cast("string").alias("target"), hashes.alias("chunk_hashes")
-        ).withColumn("file_hash", text.file_hash(F.col("chunk_hashes")))
-        if links is not None:
-            nodes = nodes.unionByName(links.select(F.lit(snapshot_id).alias("snapshot_id"), "path", F.lit("symlink").alias("node_type"), "target"), allowMissingColumns=True)
+        )
+        return nodes.withColumn("file_hash", text.file_hash(F.col("chunk_hashes")))
+
+    def _commit_snapshot(self, snapshot_id: str, parent: str | None, nodes: DataFrame, staged: DataFrame, base: int, ts: datetime, hostname: str, tags: list[str] | None) -> None:
         nodes = self._staged("nodes", nodes.select(*_columns("nodes")))
         first = staged.groupBy("chunk_hash").agg(F.min(F.struct("path", "pos")).alias("at"))
         new = first.join(self.table("chunks", base).select("chunk_hash"), "chunk_hash", "left_anti").select("chunk_hash", "at.path", "at.pos")
@@ -103,7 +134,6 @@ class Repository:
         row = self.spark.createDataFrame([(snapshot_id, ts, hostname, tags or [], int(totals[0]), max(0, int(totals[1])), int(totals[2]), parent)], TABLES["snapshots"])
         frames = {"snapshots": row, "nodes": nodes, "chunks": chunks, "chunk_data": data.select(*_columns("chunk_data")), "parity_members": members, "parity_data": shards}
         self.store.commit(append=frames, expected=base, note=f"backup {snapshot_id}")
-        return snapshot_id
 
     def _staged(self, name: str, df: DataFrame) -> DataFrame:
         folder = f"{self.store.path}/data/_staged/{name}-{secrets.token_hex(6)}"
@@ -169,6 +199,14 @@ class Repository:
         groups = members.join(used, "chunk_hash", "left_semi").select("group_no").distinct()
         return used.unionByName(members.join(groups, "group_no", "left_semi").select("chunk_hash")).distinct()
 
+    def forget(self, hashes: list[str]) -> DataFrame:
+        """Takes chunks out of the index alone; their data stays until ``compact``. Returns the hashes that were there."""
+        base = self.store.version()
+        gone = self._staged("gone", self.table("chunks", base).where(F.col("chunk_hash").isin(hashes)).select("chunk_hash"))
+        if not gone.isEmpty():
+            self.store.commit(replace={"chunks": self.table("chunks", base).join(gone, "chunk_hash", "left_anti")}, expected=base, note="forget")
+        return gone
+
     def compact(self) -> DataFrame:
         """Rewrites the data of indexed chunks and the parity that guards them; one row: kept, discarded, kept_bytes, freed_bytes.
 
@@ -242,6 +280,12 @@ class Repository:
         nodes = self.table("nodes").join(F.broadcast(found), "snapshot_id", "left_semi")  # one row
         return nodes.where(text.matches_globs(F.col("path"), patterns or []))
 
+    def listing(self, wanted: str = "latest", patterns: list[str] | None = None) -> DataFrame:
+        """(kind, path, size_text, modified): a long listing of a snapshot's nodes; kind is ``-`` for files and ``l`` for links."""
+        kind = F.when(F.col("node_type") == "symlink", "l").otherwise("-")
+        size = F.when(F.col("node_type") == "file", text.format_size(F.coalesce("size", F.lit(0).cast("long"))))
+        return self.nodes_of(wanted, patterns).select(kind.alias("kind"), "path", size.alias("size_text"), F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+
     def restore(self, target: str, wanted: str = "latest", patterns: list[str] | None = None, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
         """(path, bytes, status) of the nodes written below ``target``, a path that every worker has mounted.
 

@@ -15,9 +15,17 @@ FILE = "path string, mtime string, snapshot_id string, chunk_hashes array<string
 
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A document may span lines, so a file is one; of a folder that ``write_documents`` made, each line is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return _lines(spark, path, schema)
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
 
 
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", schema).alias("d"))
+
+
 def read_chunk_index(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_hash, raw_size, stored_size, pack_id, pack_offset, parity_group)."""
     entries = _document(spark, path, f"entries map<string, struct<{_typed(CHUNK)}>>").select(F.explode("d.entries").alias("chunk_hash", "e"))
@@ -47,10 +55,43 @@ def changed_paths(spark: SparkSession, path: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "path string")
-    texts = spark.read.text(path, wholetext=True)
+    texts = spark.read.text(path, wholetext=not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory())
     return texts.select(F.explode(F.from_json("value", "array<string>")).alias("path")).where("path IS NOT NULL").distinct()
 
 
+def write_documents(df: DataFrame, path: str, kind: str, key: str, parts: int = 256) -> None:
+    """Writes a table as index documents to a folder, rows dealt to ``parts`` documents by a hash of ``key``, so none has to hold all of a large index.
+
+    Kinds: ``entries`` (chunk index: a map by ``chunk_hash``), ``groups`` (parity index), ``files`` (file index), and
+    ``paths`` (a hand-off list). The readers take such a folder as they take one document.
+    """
+    if kind == "entries":
+        row = F.struct(F.col("chunk_hash").alias("hash"), F.col("raw_size").alias("size"), F.col("stored_size").alias("compressed_size"), F.lit(0).cast("long").alias("refs"), "parity_group", "pack_id", "pack_offset")
+        one = F.map_from_entries(F.collect_list(F.struct("chunk_hash", row.alias("e"))))
+    elif kind in ("groups", "files"):
+        one = F.collect_list(F.struct(*df.columns))
+    elif kind == "paths":
+        one = F.collect_set("path")
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    text = F.to_json(one) if kind == "paths" else F.to_json(F.struct(one.alias(kind)))
+    documents = df.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(text.alias("value"))
+    documents.select("value").repartition(parts, "value").write.option("lineSep", "\n").text(path)
+
+
+def read_file_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, mtime, snapshot_id, chunk_hashes)."""
+    return _document(spark, path, f"files array<struct<{_typed(FILE)}>>").select(F.explode("d.files").alias("f")).select("f.*")
+
+
+def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The entries of a file index for the rows of ``wanted``, by those of its columns that the index has: path, (path, mtime) or snapshot_id."""
+    by = [c for c in ("path", "mtime", "snapshot_id") if c in wanted.columns]
+    if not by:
+        raise ValueError("nothing to look up by")
+    return index.join(wanted.select(*by).distinct(), by, "left_semi")
+
+
 def add_files(index: DataFrame, more: DataFrame) -> DataFrame:
     """A file index (path, mtime, snapshot_id, chunk_hashes) with further entries."""
     return index.unionByName(more)

@@ -12,23 +12,40 @@ import json
 import os
 import re
 import secrets
+import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder, for loops."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if all run in one process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        import tempfile
+        found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestrata-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder, for loops."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 0) in an order, whatever the order's keys: ranges are dealt to tasks, numbered there, and their counts added up."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = cut(df.repartitionByRange(*by).withColumn("__ls_part", F.spark_partition_id()))
+    counts = dealt.groupBy("__ls_part").agg(F.count(F.lit(1)).alias("__ls_n"))
+    before = counts.select("__ls_part", (F.sum("__ls_n").over(Window.orderBy("__ls_part")) - F.col("__ls_n")).alias("__ls_base"))  # a row a task
+    inside = F.row_number().over(Window.partitionBy("__ls_part").orderBy(*by)) - 1
+    return dealt.withColumn("__ls_inside", inside).join(F.broadcast(before), "__ls_part").withColumn(name, F.col("__ls_base") + F.col("__ls_inside")).drop("__ls_part", "__ls_base", "__ls_inside")
+
+
 class CommitConflict(RuntimeError):
     """Another writer has made the next version."""
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.store import numbered
+
 KINDS = ("create", "modify", "remove")
 
 
@@ -27,13 +29,9 @@ def classify(changes: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def batches(changes: DataFrame, size: int) -> DataFrame:
-    """(path, batch): paths in the order of their first change, ``size`` to a batch; numbered by hours first, so no task has all rows."""
-    first = changes.groupBy("path").agg(F.min("event_ts").alias("first_ts")).withColumn("hour", F.date_trunc("hour", "first_ts"))
-    counts = first.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("hour", (F.sum("n").over(Window.orderBy("hour")) - F.col("n")).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("hour").orderBy("first_ts", "path")) - 1
-    numbered = first.withColumn("inside", inside).join(before, "hour")
-    return numbered.select("path", F.call_function("div", F.col("base") + F.col("inside"), F.lit(size).cast("long")).alias("batch"))
+    """(path, batch): paths in the order of their first change, ``size`` to a batch; a burst of changes is dealt to many tasks."""
+    first = changes.groupBy("path").agg(F.min("event_ts").alias("first_ts"))
+    return numbered(first, "first_ts", "path").select("path", F.call_function("div", F.col("place"), F.lit(size).cast("long")).alias("batch"))
 
 
 def windowed(changes: DataFrame, width: str, slide: str | None = None) -> DataFrame:
