@@ -97,3 +97,12 @@ def test_text_functions(spark):
     paths = spark.createDataFrame([("documents/x/report.pdf",), ("a\\b\\n.txt",), ("n.TXT",)], "p string")
     assert [r[0] for r in paths.select(text.matches_globs(F.col("p"), ["documents/*.pdf", "*.txt", "["])).collect()] == [True, True, False]
     assert [r[0] for r in paths.select(text.matches_globs(F.col("p"), [])).collect()] == [True] * 3
+
+
+def test_globs_that_no_engine_takes(spark):
+    """Reversed and unclosed classes are skipped; signs that Java reads in a class stand for themselves."""
+    df = spark.createDataFrame([("a/b.txt",), ("z",), ("[",), ("&",)], "path string")
+    take = lambda *patterns: [r.path for r in df.where(text.matches_globs(F.col("path"), list(patterns))).collect()]
+    assert take("[z-a]", "[", "*.txt") == ["a/b.txt"] and take("[[&]") == ["[", "&"]
+    out = [r.path for r in df.where(~text.excluded(F.col("path"), ["[z-a]", "[x", "b.*"])).collect()]
+    assert out == ["z", "[", "&"] and df.where(text.excluded(F.col("path"), ["[z-a]"])).count() == 0

@@ -155,3 +155,26 @@ def test_index_documents(spark, tmp_path):
     assert indexes.changed_paths(spark, f"file://{tmp_path}/none.json").count() == 0
     files = spark.createDataFrame([("f", "t", "s1", ["a"])], indexes.FILE)
     assert indexes.remove_snapshot(indexes.add_files(files, files), "s1").count() == 0
+
+
+def test_backup_of_changed_paths(spark, tmp_path):
+    """A changed file, a new one, a deleted directory, a path that never was, and one that repeats; without a snapshot before, the files are all there is."""
+    folder = tmp_path / "in"
+    for name, data in {"d/a": b"a" * 700, "d/sub/b": b"b" * 700, "keep": b"k" * 700, "gone/x": b"x"}.items():
+        _write(folder, name, data)
+    repo = Repository.create(Store(spark, f"file://{tmp_path}/store"), config.Config(**SMALL))
+    changed = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    first = repo.backup_changes(changed("d/a", "d/sub/b", "keep", "gone/x"), _files(spark, folder))
+    full = repo.backup(_files(spark, folder))
+    paths = lambda i: {r.path: r.file_hash for r in repo.table("nodes").where(F.col("snapshot_id") == i).collect()}
+    assert paths(first) == paths(full) and set(paths(full)) == {"d/a", "d/sub/b", "keep", "gone/x"}
+    _write(folder, "d/a", b"new")
+    _write(folder, "e/f/g", b"")
+    (folder / "gone/x").unlink()
+    last = repo.backup_changes(changed("d/a", "d/a", "e/f/g", "gone", "never"), _files(spark, folder))
+    assert set(paths(last)) == {"d/a", "d/sub/b", "keep", "e/f/g"} and paths(last)["d/a"] != paths(full)["d/a"] and paths(last)["keep"] == paths(full)["keep"]
+    row = repo.table("snapshots").where(F.col("snapshot_id") == last).first()
+    assert (row.parent_snapshot_id, row.files, row.total_size) == (full, 4, 3 + 700 + 700)
+    assert repo.verify().where("status <> 'ok'").count() == 0
+    assert repo.backup_changes(changed(), _files(spark, folder).limit(0)) and repo.table("snapshots").count() == 4
+    assert repo.forget(["unknown"]).count() == 0

@@ -4,9 +4,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import session
 from lodestrata.operators import lineage, retention
 from lodestrata.sources import tree
-from lodestrata.store import CommitConflict, Store
+from lodestrata.store import CommitConflict, Store, numbered
 from lodestrata.streaming import changes
 
 
@@ -96,6 +97,23 @@ def test_scan_and_snapshots(spark, tmp_path):
     assert errors.count() == 1
 
 
+def test_places_in_an_order(spark):
+    """One key for nearly all rows, nulls, ties in part of the order, and an empty table."""
+    df = spark.range(500).select(F.when(F.col("id") % 50 != 0, F.lit(7)).alias("k"), F.col("id").alias("v")).repartition(5)
+    got = numbered(df, "k", "v").collect()
+    want = sorted((r.k is not None, r.k or 0, r.v) for r in got)
+    assert [r.place for r in sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.v))] == list(range(500)) and len(want) == 500
+    assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_session_master(monkeypatch):
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS"):
+        monkeypatch.delenv(name, raising=False)
+    assert not session.master_given()
+    monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell")
+    assert session.master_given()
+
+
 def test_stream_replay_commits_once(spark, tmp_path):
     schema = "path string, kind string, event_ts timestamp"
     rows = spark.sql("SELECT concat('f', id % 7) AS path, 'modify' AS kind, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT)) AS event_ts FROM range(40)")
