@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import pick, tidy, tokenized
 
@@ -189,3 +190,31 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
             yield out()
 
     return pick(docs, **columns).mapInArrow(tidy(run), schema)
+
+
+def instruction_examples(turns: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, text, prompt_tokens): each assistant turn behind the turn before it, whose tokens bear no loss.
+
+    A doc_id is conv_id times 2**20 plus the turn. Turns are joined by conversation and number, so a conversation of any length is
+    dealt to many tasks. A first turn, or one whose number before is missing, has no prompt; of several prompts with one
+    number the text that sorts last counts; turns without conversation or number are left out.
+    """
+    rows = pick(turns, conv_id="long", turn="long", role="string", text="string").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    replies = rows.where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reply"))
+    prompts = rows.where("role <> 'assistant'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.max("text").alias("prompt"))
+    paired = replies.join(prompts, ["conv_id", "turn"], "left").select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("doc_id"), F.coalesce("prompt", F.lit("")).alias("text"), "reply")
+    types = pa.schema([("doc_id", pa.int64()), ("prompt", pa.string()), ("reply", pa.string()), ("prompt_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.diff(bounds) for _, _, bounds in tokenized(batch, tokenizer_path)]
+            arrays = [batch.column("doc_id"), batch.column("text").cast(pa.string()), batch.column("reply").cast(pa.string()), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=types)
+
+    counted = paired.mapInArrow(tidy(run), "doc_id long, prompt string, reply string, prompt_tokens long")
+    return counted.select("doc_id", F.when(F.col("prompt") == "", F.col("reply")).otherwise(F.concat("prompt", F.lit("\n"), "reply")).alias("text"), "prompt_tokens")
+
+
+def pack_conversations(turns: DataFrame, tokenizer_path: str, limits: Limits = Limits(2048, 16, 1536), end_id: int = 1) -> DataFrame:
+    """Instruction data (conv_id, turn, role, text) packed under all three limits; columns as in ``pack_documents``."""
+    return pack_documents(instruction_examples(turns, tokenizer_path), tokenizer_path, limits, end_id, no_loss="prompt_tokens")

@@ -810,6 +810,29 @@ def test_op10(docs):
     assert vector_packing.pack_documents(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_instruction_data_meets_three_limits(spark):
+    """The whole ``conversations`` table, prompts without loss, with odd turns added; each limit binds somewhere."""
+    turns = spark.read.parquet(f"{oracle.SF}/conversations.parquet")
+    odd = spark.createDataFrame([(9000, 5, "assistant", "alone"), (9001, 0, "user", None), (9001, 1, "assistant", None), (None, 1, "assistant", "x"), (9002, 3, "user", "b"), (9002, 3, "user", "a"), (9002, 4, "assistant", "reply")], "conv_id long, turn long, role string, text string")
+    turns = turns.unionByName(odd).withColumn("prompt", F.lit(1))
+    by = {(r.conv_id, r.turn): r for r in turns.where("conv_id < 9002").collect()}
+    texts, free = {}, {}
+    for (conv, turn), r in by.items():
+        if r.role == "assistant":
+            before = by.get((conv, turn - 1))
+            prompt = (before.text or "") if before and before.role != "assistant" else ""
+            texts[conv * (1 << 20) + turn], free[conv * (1 << 20) + turn] = (prompt + "\n" if prompt else "") + (r.text or ""), len(encode(prompt, 0)) - 1
+    texts[9002 * (1 << 20) + 4], free[9002 * (1 << 20) + 4] = "b\nreply", len(encode("b", 0)) - 1
+    limits = vector_packing.Limits(900, 3, 700)
+    rows = vector_packing.pack_conversations(turns.coalesce(1), TOKENIZER, limits).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    seq = check_pieces(rows, list(texts.items()), limits)
+    assert sum(r.length for r in rows) == sum(len(encode(t, 1)) for t in texts.values())
+    assert sum(r.loss_tokens for r in rows) == sum(len(encode(t, 1)) - free[i] for i, t in texts.items())
+    assert any(len(v) == 3 for v in seq.values()) and any(sum(r.loss_tokens for r in v) == 700 for v in seq.values()) and any(sum(r.length for r in v) == 900 for v in seq.values())
+    assert vector_packing.pack_conversations(turns.limit(0), TOKENIZER).count() == 0
+
+
 @pytest.mark.parametrize("limits", [vector_packing.Limits(), vector_packing.Limits(256, 4, 150), vector_packing.Limits(64, 1, 64)])
 def test_packer_limits(limits):
     rng = np.random.default_rng(8)
