@@ -529,6 +529,29 @@ def _chunked(spark, sf_dir, payload=False):
     return chunker.chunk_files(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 1024, 4096, payload)
 
 
+# Chunks by the definition of the rolling hash. It is turned by each byte's place, so that one exclusive-or over 32 rows gives it at any
+# place; a recursion over the candidates applies the length limits.
+CUTS = """
+RECURSIVE seed AS (SELECT 0 AS i, CAST(81985529216486895 AS HUGEINT) AS x
+  UNION ALL SELECT i + 1, xor(b, (b << 17) & 18446744073709551615::HUGEINT) FROM (SELECT i, xor(a, a >> 7) AS b FROM (SELECT i, xor(x, (x << 13) & 18446744073709551615::HUGEINT) AS a FROM seed WHERE i < 256))),
+words AS MATERIALIZED (SELECT i - 1 AS byte, CAST(x & 4294967295::HUGEINT AS BIGINT) AS w FROM seed WHERE i > 0),
+raw AS MATERIALIZED (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
+pairs AS (SELECT doc_id, regexp_extract_all(h, '..') AS p FROM raw),
+bytes AS (SELECT doc_id, CAST('0x' || unnest(p) AS BIGINT) AS byte, generate_subscripts(p, 1) - 1 AS i FROM pairs),
+turned AS (SELECT doc_id, i, ((w << CAST((32 - i % 32) % 32 AS INTEGER)) | (w >> CAST(i % 32 AS INTEGER))) & 4294967295 AS r FROM bytes JOIN words USING (byte)),
+rolled AS (SELECT doc_id, i, bit_xor(r) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 31 PRECEDING AND CURRENT ROW) AS r FROM turned),
+ends AS MATERIALIZED (SELECT doc_id, i + 1 AS e FROM rolled WHERE i >= 31 AND (((r << CAST(i % 32 AS INTEGER)) | (r >> CAST(32 - i % 32 AS INTEGER))) & 511) = 511),
+cuts AS (SELECT doc_id, -1 AS pos, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, n FROM raw
+  UNION ALL SELECT c.doc_id, c.pos + 1, c.stop, least(c.n, c.stop + 4096, coalesce(min(e.e), c.n)), c.n FROM cuts AS c LEFT JOIN ends AS e ON e.doc_id = c.doc_id AND e.e >= c.stop + 256 WHERE c.stop < c.n GROUP BY c.doc_id, c.pos, c.stop, c.n),
+pieces AS (SELECT doc_id, pos, start, stop - start AS length, sha256(unhex(substr(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (stop - start) AS BIGINT)))) AS chunk_hash FROM cuts JOIN raw USING (doc_id) WHERE pos >= 0)
+"""
+
+
+@query("cdc_cut_positions", f"WITH {CUTS} SELECT doc_id, pos, start, length, chunk_hash FROM pieces")
+def cdc_cut_positions(spark, sf_dir):
+    return _chunked(spark, sf_dir)
+
+
 @query("cdc_invariants", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS lengths_ok FROM documents WHERE text <> ''")
 def cdc_invariants(spark, sf_dir):
     last = F.max("pos").over(Window.partitionBy("doc_id"))
@@ -536,7 +559,7 @@ def cdc_invariants(spark, sf_dir):
     return _chunked(spark, sf_dir).withColumn("ok", ok).groupBy("doc_id").agg(F.sum("length").alias("bytes"), F.min("ok").alias("lengths_ok"))
 
 
-@query("cdc_chunk_dedup")
+@query("cdc_chunk_dedup", f"WITH {CUTS} SELECT chunk_hash, count(*) AS occurrences, count(DISTINCT doc_id) AS files, max(length) AS length FROM pieces GROUP BY chunk_hash")
 def cdc_chunk_dedup(spark, sf_dir):
     return _chunked(spark, sf_dir).groupBy("chunk_hash").agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("files"), F.max("length").alias("length"))
 
