@@ -40,18 +40,19 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _with_kept(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """``docs`` with __ls_lines (all lines), __ls_n (their number), __ls_drop (places to drop, null for none) and __ls_kept.
 
-    Shuffles: 24 bytes for each distinct key of a task, 36 for each line, and the texts once.
+    The keys are made once and written, some 20 bytes a line. Shuffles: 24 bytes for each distinct key of a task, 36 for each line, and the texts once.
     The repeated keys are written to a table of their own, so the join's two sides are both dealt out
     afresh and AQE can split a key that a third of all documents share.
     """
     rows = _rows(docs)
-    lines = _keys(rows, least_chars)
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = scratch.keep(_keys(rows, least_chars))
     if least_docs <= 2:
         found = lines.groupBy("h1", "h2").agg(F.min("__ls_id").alias("first"), F.max("__ls_id").alias("last")).where("first < last")
     else:
         each = lines.groupBy("h1", "h2", "__ls_id").agg(F.lit(1).alias("one"))
         found = each.groupBy("h1", "h2").agg(F.min("__ls_id").alias("first"), F.count("one").alias("n")).where(F.col("n") >= least_docs)
-    repeated = Scratch(docs.sparkSession, "lines").keep(found.select("h1", "h2", "first"))
+    repeated = scratch.keep(found.select("h1", "h2", "first"))
     drops = (
         lines.join(repeated, ["h1", "h2"])
         .where("__ls_id <> first")
