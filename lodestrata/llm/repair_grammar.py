@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, tidy, tokenized
+from .common import Scratch, pick, spread, tidy, tokenized
 
 MAGIC = b"LRP2"
 SHARD_IDS = 1 << 20
@@ -222,7 +222,20 @@ class Shard:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids below ``symbols``: each pass opens the nonterminals that are left and puts their parts in place."""
+        """All ids below ``symbols``: of many symbols by copying from all rules' expansions, where these are not much longer than the shard."""
+        if len(symbols) <= len(self.rules) or int(self.lengths.sum()) > 4 * int(self.id_bounds[-1]):
+            return self._open(symbols)
+        table = np.concatenate([np.zeros(1, np.uint32), self._open(np.arange(self.base, self.base + len(self.rules)))])
+        sizes = self._size(symbols)
+        begin = np.zeros(len(symbols), np.int64)
+        big = symbols >= self.base
+        begin[big] = (1 + np.cumsum(self.lengths) - self.lengths)[symbols[big] - self.base]
+        out = table[spread(begin, sizes)]
+        out[(np.cumsum(sizes) - sizes)[~big]] = symbols[~big]
+        return out
+
+    def _open(self, symbols: np.ndarray) -> np.ndarray:
+        """Each pass opens the nonterminals that are left and puts their parts in place."""
         todo = symbols.astype(np.int64)
         sizes = self._size(todo)
         place = np.cumsum(sizes) - sizes
