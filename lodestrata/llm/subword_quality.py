@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
     if held_out is not None:
         marked = marked.where(remainder("doc_id", 5) != held_out)
     chosen = lowest_hashes(marked, most, "doc_id", target)
-    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "place", target, "text").distinct()  # ``most`` rows on the small side
+    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "place", target, "text")  # ``most`` rows on the small side
     kinds = ["ids", "weights", "pairs", "pair_weights"]
     types = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), (target, pa.int32()), ("parts", pa.int64()), *((c, pa.binary()) for c in kinds)])
 
@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", held_out: i
             arrays = [batch.column(c).cast(t) for c, t in zip(("doc_id", "place", target), types.types[:3], strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x[0]) + len(x[2]) for x in made], pa.int64()), *(pa.array([x[k].tobytes() for x in made], pa.binary()) for k in range(4))], schema=types)
 
-    table = Scratch(docs.sparkSession, "bags").keep(texts.mapInArrow(tidy(run), f"doc_id long, place int, {target} int, parts long, ids binary, weights binary, pairs binary, pair_weights binary"))
+    made = texts.mapInArrow(tidy(run), f"doc_id long, place int, {target} int, parts long, ids binary, weights binary, pairs binary, pair_weights binary")
+    table = Scratch(docs.sparkSession, "bags").keep(made.distinct())
     order = ["place", "doc_id", target, F.md5("pairs")]
     so_far = F.sum("parts").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over ``most`` documents
     got = table.withColumn("so_far", so_far).where(F.col("so_far") <= most_parts).orderBy(*order).toArrow()
