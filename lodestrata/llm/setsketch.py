@@ -46,6 +46,8 @@ REGISTERS = ROWS * BANDS
 #: Standard deviations by which an estimate may lie below the threshold: registers are nearly independent, and
 #: for a similarity s the share of equal ones varies by sqrt(s (1 - s) / registers).
 DEVIATIONS = 4.0
+#: Graphs of at most so many edges are settled in one task, larger ones in rounds over all tasks.
+FEW_EDGES = 1 << 20
 
 VALUES = word_values("space")
 _RNG = np.random.default_rng(20211105)
@@ -152,14 +154,43 @@ def least_estimate(threshold: float) -> float:
 # --- components ----------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) in ascending order, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        u, v = parent[u], parent[v]
+        apart = u != v
+        if not apart.any():
+            return nodes, nodes[parent]
+        u, v = np.maximum(u, v)[apart], np.minimum(u, v)[apart]
+        np.minimum.at(parent, u, v)  # a root only ever gets a smaller one
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, comp) for the nodes of ``edges`` (a, b): comp is the smallest node reachable.
 
-    Large-star and small-star steps in turn, each a minimum by node and a join; every step is written, so
+    Up to ``few`` edges are settled in one task, some 100 bytes an edge. More take large-star and small-star steps in
+    turn, each a minimum by node and a join; every step is written, so
     a lost executor costs one step at most, and so both sides of a join are dealt out afresh and a hub's
     edges can be split by AQE. It ends when every node has one parent and no parent has one itself.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[b.column(c).to_numpy() for c in "uv"] for b in batches if b.num_rows]
+        if ends:
+            found = smallest_reachable(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "comp"])
+
+    if now.count() <= few:
+        return now.coalesce(1).mapInArrow(tidy(settle), "node long, comp long")
     for _ in range(rounds):
         roles = now.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionAll(now.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         found = roles.groupBy("node").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))

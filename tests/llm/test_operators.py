@@ -484,6 +484,20 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_few_edges_take_one_table(spark):
+    rng = np.random.default_rng(7)
+    chain = rng.permutation(3000) * 5 - 4000
+    edges = [*zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True), *((-9000, int(k)) for k in rng.integers(20000, 20300, 500)), (70000, 70000), (-(2**63), 2**63 - 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, many = common.Scratch(spark, "t"), common.Scratch(spark, "t")
+    got = sorted(map(tuple, setsketch.components(df, one).collect()))
+    assert one.n == 1  # rounds write four tables each
+    assert got == sorted(map(tuple, setsketch.components(df, many, few=len(edges) // 2).collect()))
+    assert many.n > 1
+    assert got == sorted([*((int(k), -4000) for k in chain), *((k, -9000) for k in {-9000, *(b for a, b in edges if a == -9000)}), (-(2**63), -(2**63)), (2**63 - 1, -(2**63))])
+    assert setsketch.components(df.where("a = b"), one).collect() == []
+
+
 # --- 5: decontamination
 
 
