@@ -251,17 +251,21 @@ _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Token ids by the tokenizers library, each distinct word of a batch encoded once.
+    """Token ids by the tokenizers library, each distinct word encoded once.
 
     A tokenizer whose pre-tokenizer drops white space never merges across it, so a text's ids are
     the ids of its words in a row. Words are cut at blanks and line feeds only; all else is left to
     the library. Words of Latin letters with a run of marks behind them are encoded many at a time:
     their ids are told apart by the vocabulary's word ends, and one by one if that count differs.
-    Words are kept, as Arrow strings, for later batches; beyond ``most`` words only those found twice in a
+    Where the tokenizer's file says that it lower-cases and cuts letters from marks, such a word has two units, its
+    letters in lower case and its marks, whose ids in a row are the word's; any other word is one unit.
+    Units are kept, as Arrow strings, for later batches; beyond ``most`` units only those found twice in a
     batch, and at twice as many the store starts anew.
     """
 
+    MARKS = ".,;:!?%$#&*"
     PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?%$#&*]*)$"
+    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, most: int = 1_200_000):
         import os
@@ -273,14 +277,53 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.in_units = self._cuts_units()
         self.most = most
         self.reset()
 
+    def _cuts_units(self) -> bool:
+        """Whether the file's normalizer lower-cases and does nothing else to Latin letters, and its pre-tokenizer cuts by ``CUTS``."""
+        import json
+
+        def steps(part: dict | None, name: str) -> list[dict]:
+            return [] if not part else part[name] if part["type"] == "Sequence" else [part]
+
+        made = json.loads(self.library.to_str())
+        folds, cuts = steps(made["normalizer"], "normalizers"), steps(made["pre_tokenizer"], "pretokenizers")
+        return (
+            [x["type"] for x in folds] == ["NFC", "Replace", "Lowercase"]
+            and folds[1]["pattern"] == {"Regex": r"\s+"}
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": self.CUTS}, "Removed", True)
+            and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        )
+
     def reset(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.ids = np.zeros(0, np.uint32)
         self.sizes = np.zeros(0, np.int32)
 
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct units of the words, and the places there of each word's first and second one (-1: none)."""
+        import pyarrow.compute as pc
+
+        second = np.full(len(words), -1, np.int64)
+        if not self.in_units:
+            return words, np.arange(len(words)), second
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        letters = pc.utf8_rtrim(words, characters=self.MARKS)
+        marked = np.flatnonzero(pc.and_(plain, pc.not_equal(letters, words)).to_numpy(zero_copy_only=False))
+        first = pc.if_else(plain, pc.utf8_lower(letters), words)
+        size = pc.binary_length(letters).to_numpy()[marked]
+        buf, offsets = string_bytes(words.take(pa.array(marked)))
+        sizes = np.diff(offsets) - size
+        run = buf[spread(offsets[:-1] + size, sizes)]
+        marks = pa.LargeStringArray.from_buffers(len(marked), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(run))
+        both = pa.concat_arrays([first, marks]).dictionary_encode()
+        places = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        second[marked] = places[len(words) :]
+        return both.dictionary, places[: len(words)], second
+
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has."""
         import pyarrow.compute as pc
@@ -291,9 +334,11 @@ class WordTokenizer:
         units[last] = 2
         sizes, found = np.zeros(len(words), np.int32), []
         at = np.flatnonzero(plain)
-        for low in range(0, len(at), 2000):
+        cuts = np.append(np.arange(0, len(at), 2000), len(at))
+        rows = pa.LargeListArray.from_arrays(pa.array(cuts), words.take(pa.array(at)))
+        for low, text in zip(cuts[:-1].tolist(), pc.binary_join(rows, pa.scalar(" ", pa.large_string())), strict=True):
             part = at[low : low + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(words.take(pa.array(part)).to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([text.as_py()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             want = np.cumsum(units[part])
             if len(ends) != want[-1] or ends[-1] != len(ids):
@@ -313,42 +358,57 @@ class WordTokenizer:
             out[spread(starts[part], sizes[part])] = ids
         return out, sizes
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows in a row, and each row's bounds; null is empty."""
+    def encode_units(self, units: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many units, and each unit's start and size there; new units are encoded. counts: how often the batch has each."""
         import pyarrow.compute as pc
 
-        column = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), "\n", " ")
-        parts = pc.split_pattern(column, " ")
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        words = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        bounds = bounds - bounds[0]
-        index = words.indices.to_numpy(zero_copy_only=False)
-        if not len(index):
-            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         if len(self.known) > 2 * self.most:
             self.reset()
-        distinct = words.dictionary
-        place = pc.index_in(distinct, value_set=self.known)
-        slot = place.fill_null(-1).to_numpy().astype(np.int64)
+        slot = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(slot < 0)
-        ids, sizes = self.encode_words(distinct.take(pa.array(new)))
+        ids, sizes = self.encode_words(units.take(pa.array(new)))
         slot[new] = len(self.sizes) + np.arange(len(new))
-        all_sizes = np.concatenate([self.sizes, sizes])
+        all_ids, all_sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         starts = np.cumsum(all_sizes, dtype=np.int64) - all_sizes
-        all_ids = np.concatenate([self.ids, ids])
         if len(self.known) <= self.most:
-            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new))])
+            self.known = pa.concat_arrays([self.known, units.take(pa.array(new))])
             self.ids, self.sizes = all_ids, all_sizes
         else:
-            again = np.flatnonzero(np.bincount(index, minlength=len(distinct))[new] > 1)
-            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new[again]))])
+            again = np.flatnonzero(counts[new] > 1)
+            self.known = pa.concat_arrays([self.known, units.take(pa.array(new[again]))])
             self.ids = np.concatenate([self.ids, ids[spread((np.cumsum(sizes) - sizes)[again], sizes[again])]])
             self.sizes = np.concatenate([self.sizes, sizes[again]])
-        ends = np.concatenate([[0], np.cumsum(all_sizes[slot][index], dtype=np.int64)])
+        return all_ids, starts[slot], all_sizes[slot]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in a row, and each row's bounds; null is empty."""
+        import pyarrow.compute as pc
+
+        column = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), "\n", " ")
+        parts = pc.split_pattern(column, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        index = words.indices.to_numpy(zero_copy_only=False)
+        if not len(index):
+            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
+        units, first, second = self.units(words.dictionary)
+        times = np.bincount(index, minlength=len(first))
+        marked = np.flatnonzero(second >= 0)
+        counts = np.bincount(first, times, len(units)) + np.bincount(second[marked], times[marked], len(units))
+        ids, at, of = self.encode_units(units, counts)
+        # the ids of the batch's distinct words
+        sizes = of[first].astype(np.int64)
+        sizes[marked] += of[second[marked]]
+        starts = np.cumsum(sizes) - sizes
+        table = np.empty(int(sizes.sum()), np.uint32)
+        table[spread(starts, of[first])] = ids[spread(at[first], of[first])]
+        table[spread((starts + of[first])[marked], of[second[marked]])] = ids[spread(at[second[marked]], of[second[marked]])]
+        ends = np.concatenate([[0], np.cumsum(sizes[index])])
         out = np.empty(int(ends[-1]), np.uint32)
         for low in range(0, len(index), _TURN):  # positions are eight bytes an id: some at a time
-            part = slot[index[low : low + _TURN]]
-            out[ends[low] : ends[low + len(part)]] = all_ids[spread(starts[part], all_sizes[part])]
+            part = index[low : low + _TURN]
+            out[ends[low] : ends[low + len(part)]] = table[spread(starts[part], sizes[part])]
         return out, ends[bounds]
 
 

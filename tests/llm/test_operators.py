@@ -61,6 +61,25 @@ def test_tokens_equal_library():
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [encode(x, 0)[:-1] for x in texts]
 
 
+def test_letters_and_marks_are_encoded_once(tmp_path):
+    words = ["The", "the", "the,", "THE!", "The,!", "ÀÉß.", "àéß", "×,", "Ÿ!", "ÿ!", "ŒUVRE,", "ǅ.", "a\u0301,", "x\u0327.", "K.", "don't,", "'S!", "!the", ",", "!,", "a,b", "9,", "é#$&*", "\xa0a,", "ſ,", "É\u0301!"]
+    texts = [*words, " ".join(words), "\n".join(words[::-1])]
+    t = common.WordTokenizer(TOKENIZER)
+    assert t.in_units
+    t.encode(pa.array(["The the THE the, The, THE! the,! Cat, cat! CAT"]))
+    assert sorted(t.known.to_pylist()) == ["!", ",", ",!", "cat", "the"]
+    # a tokenizer that keeps case, and one that leaves marks with their letters
+    made = json.loads(open(TOKENIZER, encoding="utf-8").read())
+    cased = made | {"normalizer": {"type": "NFC"}}
+    whole = made | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, made["pre_tokenizer"]["pretokenizers"][1]]}}
+    for k, (kind, units) in enumerate(((made, True), (cased, False), (whole, False))):
+        (path := tmp_path / f"{k}.json").write_text(json.dumps(kind))
+        other, library = common.WordTokenizer(str(path)), Tokenizer.from_file(str(path))
+        assert other.in_units == units
+        ids, bounds = other.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_word_hashes_follow_the_words(monkeypatch):
     texts = [t for _, t in TEXTS] + ["É a!b", "w" * 5000, " " * 3000 + "z"]
     for kind, pattern in (("space", r"[^\x20\x09-\x0D]+"), ("alnum", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
